@@ -1,0 +1,74 @@
+"""Registered queries of the general training-data problems (3, 5 and 6)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemill.operators.near_duplicates import duplicate_groups, group_pairs
+from sievemill.operators.representatives import best_representatives, retained_values
+from sievemill.operators.splitting import split_oversized
+from sievemill.runtime import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split_oversized(table(spark, sf_dir, "raw_chunks"), "raw_id", "chunk")
+    return pieces.where("cut_kind != 'none' and piece_no = 0").select("raw_id", "cut_kind")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "raw_chunks"), "raw_id", "chunk").where("cut_kind != 'none'")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = best_representatives(table(spark, sf_dir, "article_records"), table(spark, sf_dir, "source_registry"))
+    return best.select("group_id", "field_name", "record_id")
+
+
+def p5_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retained_values(table(spark, sf_dir, "article_records"), table(spark, sf_dir, "source_registry"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_pairs(duplicate_groups(table(spark, sf_dir, "article_records")))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(table(spark, sf_dir, "article_records"))
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_retained, p6_found, p6_groups)}
+
+
+_USABLE = r"""(coalesce(trim(regexp_replace({c}, '[\s]+', ' ', 'g')), '') != '' and not (
+    length(trim({c})) <= 40 and regexp_replace(lower(trim({c})), '^(.{{3,}}?)[.\s]+$', '\1') in
+    ('-', '--', '—', '...', '[]', 'null', 'none', 'n/a', 'na', 'unknown', 'sin resumen', '[no abstract]', 'no abstract',
+     'abstract not available', 'xx', 'untitled', 'no title', 'pending', 'tbd')))"""
+
+
+def _usable(c: str) -> str:
+    return _USABLE.format(c=c)
+
+
+def oracle_sql() -> dict[str, str]:
+    p5 = f"""
+    with r as (
+      select *, trim(doi_normalized) k, min(record_id) over (partition by trim(doi_normalized)) g,
+             count(*) over (partition by trim(doi_normalized)) n
+      from article_records where coalesce(trim(doi_normalized), '') != ''),
+    s as (select r.*, coalesce(t.trust_rank, 2147483647) tr from r left join source_registry t on lower(trim(r.source)) = lower(trim(t.source_name)) where n > 1),
+    c as (
+      select g, 'abstract' f, record_id, length(abstract)::bigint o from s where {_usable("abstract")}
+      union all select g, 'pdf_url', record_id, epoch_us(retrieval_date::timestamptz) from s where {_usable("pdf_url")}
+      union all select g, 'citations', record_id, epoch_us(retrieval_date::timestamptz) from s where citations >= 0
+      union all select g, 'source', record_id, -tr::bigint from s where {_usable("source")}),
+    q as (select *, row_number() over (partition by g, f order by o desc, record_id) rn from c)
+    select g as group_id, f as field_name, record_id from q where rn = 1"""
+    # one million characters in a row is as good as any bound here: bounded repetition stops at 1000 in this dialect
+    p3 = r"""select raw_id, case when regexp_matches(chunk, '\S{600}\S{601}') then 'hard' else 'soft' end as cut_kind
+             from raw_chunks where length(chunk) > 1200"""
+    return {"p3_found": p3, "p5_found": p5}
+
+
+__all__ = ["F", "oracle_sql", "queries"]
