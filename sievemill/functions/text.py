@@ -31,8 +31,8 @@ def usable(c: Column) -> Column:
     """Not null, not blank and no placeholder; never null."""
     flat = squeezed(c)
     known = sorted({p.rstrip(".") if len(p) > 3 else p for p in PLACEHOLDERS})
-    short = F.length(flat) <= 40
-    return (flat != "") & ~(short & flat.isin(*known))
+    # long texts need no more than a look for their first character
+    return F.when(F.length(c) > 100, c.rlike(r"[^\s \u2000-\u200b\u3000\ufeff]")).otherwise((flat != "") & ~flat.isin(*known))
 
 
 def words(c: Column) -> Column:
