@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievemill.llm.encoding_repair import find_damaged
+from sievemill.llm.language_labels import label_languages, train, wrong_labels
 from sievemill.runtime import table
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "article_records")
+    return label_languages(records, train(records))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrong_labels(_languages(spark, sf_dir))
+
+
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("record_id", "label", "language", "confidence")
+
+
+def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _languages(spark, sf_dir).select("record_id", F.explode("segments").alias("s"))
+    return rows.select("record_id", "s.*")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_damaged(table(spark, sf_dir, "article_records"), "record_id", ("title", "abstract")).select("record_id", "field_name").distinct()
 
@@ -17,7 +37,7 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p7_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p7_found, p7_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
