@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.encoding_repair import find_damaged
 from sievemill.llm.language_labels import label_languages, train, wrong_labels
+from sievemill.llm.response_defects import find_defects
 from sievemill.runtime import table
 
 
@@ -28,6 +29,12 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_id", "s.*")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the languages are learnt from the labelled records; the answers carry no labels
+    model = train(table(spark, sf_dir, "article_records"))
+    return find_defects(table(spark, sf_dir, "raw_chunks"), model)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_damaged(table(spark, sf_dir, "article_records"), "record_id", ("title", "abstract")).select("record_id", "field_name").distinct()
 
@@ -37,7 +44,7 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p7_found, p7_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p2_found, p7_found, p7_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
