@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemill.llm.encoding_repair import find_damaged
 from sievemill.llm.language_labels import label_languages, train, wrong_labels
 from sievemill.llm.response_defects import find_defects
+from sievemill.llm.scan_noise import repaired, scan_noise
 from sievemill.runtime import table
 
 
@@ -35,6 +36,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_defects(table(spark, sf_dir, "raw_chunks"), model)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise(table(spark, sf_dir, "raw_chunks"))
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "raw_chunks"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_damaged(table(spark, sf_dir, "article_records"), "record_id", ("title", "abstract")).select("record_id", "field_name").distinct()
 
@@ -44,7 +53,7 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p2_found, p7_found, p7_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p2_found, p4_found, p4_repaired, p7_found, p7_repaired)}
 
 
 def oracle_sql() -> dict[str, str]:
