@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemill.llm.encoding_repair import find_damaged
 from sievemill.llm.language_labels import label_languages, train, wrong_labels
+from sievemill.llm.leakage import find_leaks
 from sievemill.llm.response_defects import find_defects
 from sievemill.llm.scan_noise import repaired, scan_noise
 from sievemill.runtime import table
@@ -52,8 +53,17 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_damaged(table(spark, sf_dir, "article_records"), "record_id", ("title", "abstract"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.where("how = 'verbatim'").select("doc_id", "item_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p2_found, p4_found, p4_repaired, p7_found, p7_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p2_found, p4_found, p4_repaired, p7_found, p7_repaired, p9_found, p9_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
