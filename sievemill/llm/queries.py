@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.llm import abuse
 from sievemill.llm.encoding_repair import find_damaged
 from sievemill.llm.language_labels import label_languages, train, wrong_labels
 from sievemill.llm.leakage import find_leaks
+from sievemill.llm.packing import fill_containers, fill_report
 from sievemill.llm.response_defects import find_defects
 from sievemill.llm.scan_noise import repaired, scan_noise
 from sievemill.runtime import table
@@ -53,6 +55,14 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_damaged(table(spark, sf_dir, "article_records"), "record_id", ("title", "abstract"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_containers(table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(fill_containers(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.where("how = 'verbatim'").select("doc_id", "item_id").distinct()
@@ -62,8 +72,25 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return abuse.score_documents(docs, abuse.train(docs, table(spark, sf_dir, "labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.voiced(_abuse(spark, sf_dir))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_abuse(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p2_found, p4_found, p4_repaired, p7_found, p7_repaired, p9_found, p9_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_passages, p2_found, p4_found, p4_repaired, p7_found, p7_repaired, p8_containers, p8_report, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
