@@ -146,6 +146,41 @@ def uncover(text: str) -> tuple[str, int]:
     return out.lower(), n
 
 
+def _quick_automaton() -> ahocorasick.Automaton:
+    auto = ahocorasick.Automaton()
+    for t in HARD:
+        auto.add_word(t, (t, True))
+        auto.add_word(leet(t), (leet(t), True))
+    for c in "abcdefghijklmnopqrstuvwxyzáéíóúñç":  # letters drawn out
+        auto.add_word(3 * c, (3 * c, False))
+    auto.make_automaton()
+    return auto
+
+
+def leet(text: str) -> str:
+    low = text.lower()
+    for a, b in (("@", "a"), ("4", "a"), ("3", "e"), ("1", "i"), ("0", "o"), ("5", "s"), ("$", "s"), ("7", "t"), ("+", "t"), ("8", "b"), ("9", "g")):
+        if a in low:
+            low = low.replace(a, b)
+    return low
+
+
+QUICK = _quick_automaton()
+SPACED = re.compile(r"(?<!\w)\w[ .\-_*]\w[ .\-_*]\w(?!\w)")
+
+
+def may_hold(text: str) -> bool:
+    """Whether a text can hold a word of a toxic lexicon, plain or obfuscated; never false where one does."""
+    low = leet(text)
+    for end, (term, word) in QUICK.iter(low):
+        if not word:
+            return True
+        a, b = end - len(term) + 1, end + 1
+        if (a == 0 or not low[a - 1].isalnum()) and (b == len(low) or not low[b].isalnum() or low[b] == "i"):
+            return True
+    return "*" in text or "!" in text and re.search(r"[^\W\d_]![^\W\d_]", text) is not None or SPACED.search(text) is not None
+
+
 def find_terms(low: str) -> list[tuple[int, int, tuple[str, ...]]]:
     """Whole-word lexicon terms as (start, end, lexicons), the longest at each place."""
     found = []
@@ -268,7 +303,9 @@ def windows(passage: str, most: int = 24, before: int = 9, after: int = 14) -> l
 
 
 def _vectors(text: str) -> list[np.ndarray]:
-    return [v for p in passages(text) for w in windows(p) if (v := vector(w)) is not None]
+    if not may_hold(text):
+        return []
+    return [v for p in passages(text) if may_hold(p) for w in windows(p) if (v := vector(w)) is not None]
 
 
 def _by_lexicon(v: np.ndarray) -> np.ndarray:
@@ -346,8 +383,7 @@ def score_documents(docs: DataFrame, model: AbuseModel) -> DataFrame:
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
-                low, hidden = uncover(text)
-                if not hidden and not any(set(n) & set(TOXIC) for _, _, n in find_terms(low)):
+                if not may_hold(text):
                     continue
                 for v in _vectors(text):
                     vectors.append(v)
