@@ -80,6 +80,17 @@ def matched_atoms(text: Column, contract: Contract, expand: bool = True) -> Colu
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def _starts(low: Column, atom: Atom) -> Column:
+    """(at, name) of every match: lengths of what stands before each, summed up."""
+    pattern = atom_pattern(atom.terms)
+    pieces = F.split(low, pattern)
+    found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
+    at = lambda i: total(F.slice(pieces, F.lit(1), i)) + total(F.slice(found, F.lit(1), i - 1))
+    cells = F.transform(F.sequence(F.lit(1), F.size(found)), lambda i: F.struct(at(i).alias("at"), F.lit(atom.name).alias("name")))
+    return F.when(F.size(found) > 0, cells).otherwise(F.array().cast("array<struct<at:int,name:string>>"))
+
+
 def cooccurring_atoms(title: Column, abstract: Column, contract: Contract) -> Column:
     """Atoms of the title, and the largest set of atoms whose matches start within one window of the abstract.
 
@@ -89,18 +100,7 @@ def cooccurring_atoms(title: Column, abstract: Column, contract: Contract) -> Co
     in_title = matched_atoms(F.lower(F.coalesce(title, F.lit(""))), contract)
     low = F.lower(F.coalesce(abstract, F.lit("")))
     simple = matched_atoms(low, contract)
-    per_atom = []
-    for a in contract.atoms:
-        pattern = atom_pattern(a.terms)
-        # lengths of what stands before each match, summed up, give the starts
-        pieces = F.split(low, pattern)
-        found = F.regexp_extract_all(low, F.lit(pattern), F.lit(0))
-        starts = F.transform(
-            F.sequence(F.lit(1), F.size(found)),
-            lambda i, pieces=pieces, found=found: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
-            + F.aggregate(F.slice(found, F.lit(1), i - 1), F.lit(0), lambda s, x: s + F.length(x)),
-        )
-        per_atom.append(F.when(F.size(found) > 0, F.transform(starts, lambda p, a=a: F.struct(p.alias("at"), F.lit(a.name).alias("name")))).otherwise(F.array().cast("array<struct<at:int,name:string>>")))
+    per_atom = [_starts(low, a) for a in contract.atoms]
     hits = F.array_sort(F.flatten(F.array(*per_atom)))
     names = F.array(*(F.lit(a.name) for a in contract.atoms))
     windows = F.transform(hits, lambda h: F.array_distinct(F.transform(F.filter(hits, lambda x: (x["at"] >= h["at"]) & (x["at"] <= h["at"] + contract.window)), lambda x: x["name"])))

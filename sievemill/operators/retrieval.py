@@ -103,7 +103,7 @@ def mine_terms(df: DataFrame, id_col: str, text: Column, lo: int = 1, hi: int =
 
     Counts run over all documents; only the ``features`` terms take part in the second pass.
     """
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
     counts = stored(df.select(F.col(id_col).alias("doc"), F.explode(ngram_terms(words, lo, hi)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "ngrams")
     n = df.count()
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)

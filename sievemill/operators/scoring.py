@@ -141,7 +141,7 @@ def majority(df: DataFrame, id_col: str) -> DataFrame:
     any usable run the row passes with 5.0."""
     n, yes = F.count("vote"), F.sum(F.col("vote").cast("int"))
     passed = F.when(n == 0, True).when(n == 1, yes == 1).otherwise(yes >= 2)
-    return df.groupBy(id_col).agg(passed.alias("passed"), F.round(F.coalesce(F.avg("score"), F.lit(5.0)), 4).alias("score"), n.alias("runs"))
+    return df.groupBy(id_col).agg(passed.alias("passed"), F.round(F.coalesce(F.avg("score"), F.lit(5.0)), 9).alias("score"), n.alias("runs"))
 
 
 def combine_criteria(df: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def compose_rerank(df: DataFrame, top_n: int, order: str = "prior") -> DataFrame
     as it was."""
     composed = 0.35 * F.col("thematic") + 0.25 * F.col("slr") + 0.20 * F.col("methodological") + 0.20 * F.col("contribution")
     judged = (F.col("rank") <= top_n) & F.col("judge").isNotNull()
-    return df.withColumns({"is_tail": F.col("rank") > top_n, "final": F.round(F.when(judged, 0.5 * F.col("judge") + 0.5 * composed).otherwise(F.col(order)), 6)})
+    return df.withColumns({"is_tail": F.col("rank") > top_n, "final": F.round(F.when(judged, 0.5 * F.col("judge") + 0.5 * composed).otherwise(F.col(order)), 9)})
 
 
 def grey_outcome(relevant: Column, similarity: Column) -> Column:
