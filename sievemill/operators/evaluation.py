@@ -83,7 +83,10 @@ def head_and_tail(df: DataFrame, label: Column, top: int, rest: str = "otros") -
 
 def dimension_counts(df: DataFrame, dimensions: dict[str, Column], top: int = 10) -> DataFrame:
     """(dim, label, n, pct): the most frequent labels of several dimensions in one pass; an array gives several labels."""
-    cells = [F.transform(c, lambda x, d=d: F.struct(F.lit(d).alias("dim"), x.alias("label"))) for d, c in dimensions.items()]
+    def labelled(d: str, c: Column) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(d).alias("dim"), x.alias("label")))
+
+    cells = [labelled(d, c) for d, c in dimensions.items()]
     counts = df.select(F.explode(F.concat(*cells)).alias("x")).select("x.*").groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("total"))
     r = F.row_number().over(Window.partitionBy("dim").orderBy(F.col("n").desc(), "label"))
@@ -100,9 +103,9 @@ def flow_counts(stages: DataFrame) -> DataFrame:
     )
 
 
-def score_audit(df: DataFrame, score: str) -> DataFrame:
-    """One row: count, mean, population deviation, quartiles and warnings on the spread of a score."""
-    a = df.agg(
+def score_audit(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
+    """One row, or one a group: count, mean, population deviation, quartiles and warnings on the spread of a score."""
+    a = df.groupBy(*by).agg(
         F.count(score).alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"),
         *(F.round(F.percentile(score, F.lit(p / 100)), 6).alias(f"p{p}") for p in (25, 50, 75)),
     )

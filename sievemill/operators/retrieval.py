@@ -91,10 +91,12 @@ def ranked(df: DataFrame, score: str) -> DataFrame:
 
 def ngram_terms(words: Column, lo: int, hi: int) -> Column:
     """All runs of lo..hi words of an array, as phrases."""
-    out = []
-    for n in range(lo, hi + 1):
+
+    def runs(n: int) -> Column:
         spots = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out.append(F.transform(spots, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+        return F.transform(spots, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    out = [runs(n) for n in range(lo, hi + 1)]
     return F.concat(*out)
 
 

@@ -402,12 +402,11 @@ def rerank_compose(spark, sf):
 
 @R.query(
     """select coalesce(provider, 'none') as provider, count(score) as n, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std, round(quantile_cont(score, 0.25), 6) as p25,
-    round(quantile_cont(score, 0.5), 6) as p50, round(quantile_cont(score, 0.75), 6) as p75 from retrieval_hits where coalesce(provider, 'none') in ('Medarium', 'Scholaris', 'none') group by 1"""
+    round(quantile_cont(score, 0.5), 6) as p50, round(quantile_cont(score, 0.75), 6) as p75 from retrieval_hits group by 1"""
 )
 def reranker_audit(spark, sf):
-    hits = table(spark, sf, "retrieval_hits").withColumn("provider", F.coalesce("provider", F.lit("none"))).where(F.col("provider").isin("Medarium", "Scholaris", "none"))
-    parts = [E.score_audit(hits.where(F.col("provider") == p), "score").select(F.lit(p).alias("provider"), "n", "mean", "std", "p25", "p50", "p75") for p in ("Medarium", "Scholaris", "none")]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    hits = table(spark, sf, "retrieval_hits").withColumn("provider", F.coalesce("provider", F.lit("none")))
+    return E.score_audit(hits, "score", ["provider"]).drop("warnings")
 
 
 @R.query("select record_id as ord, case when citations > 5 then greatest(s, 0.55) else least(s, 0.25) end as similarity from (select record_id, citations, round(least(coalesce(citations, 0), 60) / 60.0, 6) s from article_records where citations >= 0)")

@@ -305,13 +305,13 @@ def fn_attribution(spark, sf):
 
 
 @R.query(
-    f"""with f as (select record_id, left(({DOI}), 16) p from article_records where length({DOI}) >= 16), n as (select distinct p as stem from f where record_id <= 500)
+    f"""with f as (select record_id, lower(trim(source)) s, left(({DOI}), 16) p from article_records where length({DOI}) >= 16), n as (select distinct p as stem from f where s = 'manualupload')
     select stem, count(*) as n from n join f on starts_with(f.p, n.stem) group by 1"""
 )
 def prefix_match(spark, sf):
     """Identifier stems of waiting files against the articles: an equi-join on the stem, as the prefix has a fixed length."""
-    rows = articles(spark, sf).select("ord", F.substring(C.normal_doi(F.col("doi")), 1, 16).alias("stem")).where("length(stem) = 16")
-    waiting = rows.where("ord <= 500").select("stem").distinct()
+    rows = articles(spark, sf).select(F.lower(F.trim("source")).alias("s"), F.substring(C.normal_doi(F.col("doi")), 1, 16).alias("stem")).where("length(stem) = 16")
+    waiting = rows.where("s = 'manualupload'").select("stem").distinct()
     return rows.join(waiting, "stem", "left_semi").groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
