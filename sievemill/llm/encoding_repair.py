@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGES = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251")
@@ -60,14 +60,16 @@ EVIDENCE = tuple(
         ("question", "[0-9] \\?+ (?=[0-9A-Za-z])|\\d ?\\?(?:g|C|L|m)\\b"),
     )
 )
-PAIR = re.compile("[^\x00-\x7f]{2}")
+PAIR, RUNS = re.compile("[^\x00-\x7f]{2}"), re.compile("[^\x00-\x7f]{2,}")
 CYRILLIC, LATIN_RE = re.compile("[Ѐ-ӿ]"), re.compile(f"[{LATIN}]")
 URL = re.compile(r"\w+://\S+")
-#: fields without any of these are sound
-SUSPICIOUS = (
-    "[^\\x00-\\x7fáéíóúüñçãõâêôàèìòùäöß–’“”±]"
-    "|\\?[^\\s\"”»)]|(?:^|[\\s(])\\?|(?<![A-Za-zÀ-ſ])[ñóõãçß](?![A-Za-zÀ-ſ])|[0-9]â|(?:^|[\\s(])[ìî]|[dlLnsct]í[aeiouhàâéèêíîôùs]"
+#: a character that sound text of the six languages does not have
+ALIEN = "[^\\x00-\\x7fáéíóúüñçãõâêôàèìòùäöß–’“”±]"
+#: sound letters where they cannot stand; the class comes first, so that most characters fail at once
+MISPLACED = (
+    "[ñóõãçß](?<![A-Za-zÀ-ſ].)(?![A-Za-zÀ-ſ])|â(?<=[0-9]â)|[ìî](?<=(?:^|[\\s(]).)|í(?<=[dlLnscCmMtTjJN]í)(?=[aeiouhàâéèêíîôùs])"
 )
+ASKING = "\\?(?=[^\\s\"”»)])|\\?(?<=(?:^|[\\s(])\\?)"
 
 
 @lru_cache
@@ -111,10 +113,11 @@ def _swap(read_as: str, was: str) -> dict[int, str]:
 def spans(text: str, page: str) -> list[tuple[int, int, str]]:
     """(start, end, decoded) of the maximal well-formed multibyte spans that decode to plausible characters."""
     found = []
-    for m in AUTOMATON.finditer(text.translate(_mapper(page))):
-        decoded = m.group().encode("latin-1").decode("utf-8")
-        if PLAUSIBLE.match(decoded) and all(PLAUSIBLE.match(c) for c in decoded):
-            found.append((m.start(), m.end(), decoded))
+    for run in RUNS.finditer(text):  # multibyte sequences hold no ASCII
+        for m in AUTOMATON.finditer(run.group().translate(_mapper(page))):
+            decoded = m.group().encode("latin-1").decode("utf-8")
+            if all(PLAUSIBLE.match(c) for c in decoded):
+                found.append((run.start() + m.start(), run.start() + m.end(), decoded))
     return found
 
 
@@ -140,11 +143,28 @@ def decode_spans(text: str) -> tuple[str, int]:
     return text, n
 
 
+_ASCII = frozenset(map(chr, range(0x80)))
+#: characters of which a kind of evidence needs one
+_NEEDS = {
+    "lost": "�", "controls": "".join(map(chr, range(0x80, 0xA0))), "boxes": "".join(map(chr, range(0x2500, 0x25A0))),
+    "sign in word": "".join(chr(c) for c in (*range(0xA1, 0xC0), 0x2020, 0x2021, 0x201A, 0x201E, 0x192, 0x2C6, 0x2030, 0x2039, 0x203A, 0x2022, 0x2122, 0x2DC, 0x2D9, 0x2DA, 0x2D8, 0xFB01, 0xFB02, 0x221E, 0x2202, 0x221A, 0x222B, 0x2248, 0x2260, 0x25CA, 0x2211, 0x220F, 0x2026)),
+    "digits": "âÂÃ", "quotes": "ìÒîí", "lone sign": "‡˙ˆ˚¸‚ƒ˘‹‰£¤¢Š˜š", "case": "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7), "lone letter": "æøñÆıœóõãçß",
+    "unit": "æø∞ñÆΩ", "small dotless": "ı", "ligature": "ﬁﬂ",
+}
+_NEEDS = {k: frozenset(v) for k, v in _NEEDS.items()}
+
+
 def evidence(text: str) -> set[str]:
-    bare = URL.sub(" ", text)
-    kinds = {kind for kind, p in EVIDENCE if p.search(bare)}
-    alien = len(CYRILLIC.findall(bare))
-    if alien and alien * 4 < len(LATIN_RE.findall(bare)):
+    there = set(text).difference(_ASCII)
+    asks = "?" in text
+    if not there and not asks:
+        return set()
+    bare = URL.sub(" ", text) if "://" in text else text
+    kinds: set[str] = set()
+    for kind, p in EVIDENCE:
+        if kind not in kinds and (asks if kind == "question" else there & _NEEDS[kind]) and p.search(bare):
+            kinds.add(kind)
+    if any("Ѐ" <= c <= "ӿ" for c in there) and len(CYRILLIC.findall(bare)) * 4 < len(LATIN_RE.findall(bare)):
         kinds.add("alphabet")
     return kinds
 
@@ -186,6 +206,12 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
     return True, fixed, not evidence(fixed)
 
 
+def suspicious(c: Column) -> Column:
+    """Whether a field has to be looked at; pure ASCII without question marks is decided by its lengths alone."""
+    plain = F.octet_length(c) == F.length(c)
+    return (~plain & (c.rlike(ALIEN) | c.rlike(MISPLACED))) | (c.contains("?") & c.rlike(ASKING))
+
+
 def find_damaged(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
     """One row per damaged field: id, field_name, original, restored, complete.
 
@@ -196,7 +222,7 @@ def find_damaged(df: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFra
     cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("original")) for f in fields)))
     picked = (
         df.select(F.col(id_col).alias("_id"), cells.alias("c")).select("_id", "c.field_name", "c.original")
-        .where(F.col("original").rlike(SUSPICIOUS))
+        .where(suspicious(F.col("original")))
     )
     kind = dict(df.dtypes)[id_col]
 

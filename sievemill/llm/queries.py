@@ -94,4 +94,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    window = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
+    p9 = f"""with d as (select doc_id, {words} w from documents), i as (select item_id, {words} w from benchmark),
+    dw as (select distinct doc_id, {window} x from d where len(w) >= 12), iw as (select distinct item_id, {window} x from i where len(w) >= 12)
+    select distinct doc_id, item_id from dw join iw using (x)"""
+    return {"p9_found": p9}
