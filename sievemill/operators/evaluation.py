@@ -106,7 +106,7 @@ def flow_counts(stages: DataFrame) -> DataFrame:
 def score_audit(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
     """One row, or one a group: count, mean, population deviation, quartiles and warnings on the spread of a score."""
     a = df.groupBy(*by).agg(
-        F.count(score).alias("n"), F.round(F.avg(score), 6).alias("mean"), F.round(F.stddev_pop(score), 6).alias("std"),
-        *(F.round(F.percentile(score, F.lit(p / 100)), 6).alias(f"p{p}") for p in (25, 50, 75)),
+        F.count(score).alias("n"), F.round(F.avg(score), 9).alias("mean"), F.round(F.stddev_pop(score), 9).alias("std"),
+        *(F.round(F.percentile(score, F.lit(p / 100)), 9).alias(f"p{p}") for p in (25, 50, 75)),
     )
     return a.withColumn("warnings", F.concat_ws(",", F.when(F.col("std") < 0.05, "low_variance"), F.when(F.col("mean") > 0.85, "too_lenient"), F.when(F.col("mean") < 0.15, "too_strict")))

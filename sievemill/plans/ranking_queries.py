@@ -401,8 +401,8 @@ def rerank_compose(spark, sf):
 
 
 @R.query(
-    """select coalesce(provider, 'none') as provider, count(score) as n, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std, round(quantile_cont(score, 0.25), 6) as p25,
-    round(quantile_cont(score, 0.5), 6) as p50, round(quantile_cont(score, 0.75), 6) as p75 from retrieval_hits group by 1"""
+    """select coalesce(provider, 'none') as provider, count(score) as n, round(avg(score), 9) as mean, round(stddev_pop(score), 9) as std, round(quantile_cont(score, 0.25), 9) as p25,
+    round(quantile_cont(score, 0.5), 9) as p50, round(quantile_cont(score, 0.75), 9) as p75 from retrieval_hits group by 1"""
 )
 def reranker_audit(spark, sf):
     hits = table(spark, sf, "retrieval_hits").withColumn("provider", F.coalesce("provider", F.lit("none")))
