@@ -121,7 +121,8 @@ class LanguageModel:
 
         bias, share = np.zeros(k), np.zeros(k)
         scale = 30.0
-        for _ in range(plan.epochs):
+        # a small sample is passed more often
+        for _ in range(max(plan.epochs, min(12, round(plan.epochs * 0.8 * plan.passages / max(1, len(train)))))):
             for j in rng.permutation(train):
                 i, tf = feats[j]
                 x = tf * idf[i] * scale
@@ -199,6 +200,47 @@ def score(texts: list[str], model: LanguageModel, cache: WordScores) -> tuple[np
     return model.probabilities(sums[:, :-1], sums[:, -1]), counts
 
 
+# Seed sentences, written for this module: they carry the fit where few rows are labelled.
+SEEDS = {
+    "en": (
+        "The aim of this study was to find out how the patients felt after the treatment.", "We asked the nurses which of the forms had been filled in and when they were sent.",
+        "There were no differences between the two groups at the end of the year.", "It is not known whether these results hold for other people with the same disease.",
+        "All of the data are available from the authors, who would like to thank everyone that took part.", "Further work should look at the costs and at what happens in the long run.",
+        "Does the use of reminders improve the quality of care for older adults?", "The effect of exercise on sleep in young people: a review of the evidence",
+    ),
+    "es": (
+        "El objetivo de este estudio fue conocer cómo se sintieron los pacientes después del tratamiento.", "Preguntamos a las enfermeras cuáles de los formularios se habían rellenado y cuándo se enviaron.",
+        "No hubo diferencias entre los dos grupos al final del año.", "No se sabe si estos resultados son válidos para otras personas con la misma enfermedad.",
+        "Todos los datos están disponibles y los autores agradecen a quienes participaron.", "Hacen falta más trabajos sobre los costes y sobre lo que ocurre a largo plazo.",
+        "¿Mejora el uso de avisos la calidad de la atención a las personas mayores?", "El efecto del ejercicio sobre el sueño en los jóvenes: una revisión de la evidencia",
+    ),
+    "pt": (
+        "O objetivo deste estudo foi saber como os pacientes se sentiram depois do tratamento.", "Perguntamos às enfermeiras quais dos formulários tinham sido preenchidos e quando foram enviados.",
+        "Não houve diferenças entre os dois grupos no fim do ano.", "Não se sabe se estes resultados são válidos para outras pessoas com a mesma doença.",
+        "Todos os dados estão disponíveis e os autores agradecem a quem participou.", "São necessários mais trabalhos sobre os custos e sobre o que acontece a longo prazo.",
+        "O uso de avisos melhora a qualidade da atenção às pessoas idosas?", "O efeito do exercício sobre o sono em jovens: uma revisão da evidência",
+    ),
+    "fr": (
+        "Le but de cette étude était de savoir comment les patients se sentaient après le traitement.", "Nous avons demandé aux infirmières lesquels des formulaires avaient été remplis et quand ils ont été envoyés.",
+        "Il n’y avait pas de différence entre les deux groupes à la fin de l’année.", "On ne sait pas si ces résultats valent pour d’autres personnes atteintes de la même maladie.",
+        "Toutes les données sont disponibles et les auteurs remercient ceux qui ont participé.", "D’autres travaux devront porter sur les coûts et sur ce qui se passe à long terme.",
+        "Les rappels améliorent-ils la qualité des soins chez les personnes âgées ?", "L’effet de l’exercice sur le sommeil chez les jeunes : une revue des preuves",
+    ),
+    "de": (
+        "Ziel dieser Studie war es, herauszufinden, wie sich die Patienten nach der Behandlung fühlten.", "Wir fragten die Pflegekräfte, welche der Bögen ausgefüllt und wann sie abgeschickt wurden.",
+        "Am Ende des Jahres gab es keine Unterschiede zwischen den beiden Gruppen.", "Es ist nicht bekannt, ob diese Ergebnisse auch für andere Menschen mit derselben Krankheit gelten.",
+        "Alle Daten sind verfügbar, und wir danken denen, die an der Befragung teilgenommen haben.", "Weitere Arbeiten sollten die Kosten und die Folgen auf lange Sicht untersuchen.",
+        "Verbessern Erinnerungen die Versorgung älterer Menschen?", "Die Wirkung von Bewegung auf den Schlaf bei Jugendlichen: eine Übersicht",
+    ),
+    "it": (
+        "Lo scopo di questo studio era capire come si sentivano i pazienti dopo il trattamento.", "Abbiamo chiesto alle infermiere quali dei moduli erano stati compilati e quando sono stati inviati.",
+        "Non c’erano differenze tra i due gruppi alla fine dell’anno.", "Non è noto se questi risultati valgano anche per altre persone con la stessa malattia.",
+        "Tutti i dati sono disponibili e gli autori ringraziano chi ha partecipato.", "Servono altri lavori sui costi e su ciò che accade nel lungo periodo.",
+        "L’uso di promemoria migliora la qualità delle cure per gli anziani?", "L’effetto dell’esercizio sul sonno nei giovani: una revisione delle prove",
+    ),
+}
+
+
 def train(df: DataFrame, plan: LanguagePlan = LanguagePlan()) -> LanguageModel:
     """Fits the classifier on a bounded sample of the labelled rows of (title, abstract, language)."""
     code = normal_label(F.col("language"))
@@ -215,8 +257,8 @@ def train(df: DataFrame, plan: LanguagePlan = LanguagePlan()) -> LanguageModel:
         if len(WORDS.findall(text[a:b])) >= plan.least_words
     ]
     units = [units[i] for i in np.sort(rng.permutation(len(units))[: plan.passages])]
-    if not units:
-        return LanguageModel(plan)
+    seeds = [(t, LANGUAGES.index(code)) for code, ts in SEEDS.items() for t in ts] * 3
+    units += seeds
     first = LanguageModel(plan).fit(units)
     p, _ = score([t for t, _ in units], first, WordScores(first))
     truth = np.array([label for _, label in units])
