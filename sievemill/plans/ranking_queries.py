@@ -9,8 +9,10 @@ from sievemill.operators import atoms as A
 from sievemill.operators import evaluation as E
 from sievemill.operators import retrieval as T
 from sievemill.operators import scoring as Q
+from sievemill.operators import screening as S
 from sievemill.plans.registry import Registry, sql_contains_any, sql_list
-from sievemill.plans.screening_queries import LANG, articles
+from sievemill.plans.flagship import screen
+from sievemill.plans.screening_queries import ACADEMIC, DOI_OK, articles
 from sievemill.runtime import table
 
 R = Registry()
@@ -415,5 +417,20 @@ def grey_zone_outcome(spark, sf):
     return rows.select("ord", Q.grey_outcome(F.col("citations") > 5, F.col("s")).alias("similarity"))
 
 
-__all__ = ["LANG", "oracle_sql", "queries"]
+META = S.MetadataFilter(start_year=2005, end_year=2024, academic_only=True)
+
+
+@R.query(
+    f"""with kept as (select * from article_records where {ACADEMIC} and coalesce(year, 0) between 2005 and 2024),
+    k as (select *, case when {DOI_OK} then 'doi' when trim(coalesce(title, '')) != '' then 'title' else 'none' end kind,
+      case when {DOI_OK} then trim(doi) when trim(coalesce(title, '')) != '' then lower(trim(title)) else record_id::varchar end key from kept),
+    u as (select * from k qualify record_id = min(record_id) over (partition by kind, key, case when kind = 'title' then year end)),
+    m as (select *, {_matched()} as matched from u), p as (select * from m where len(list_filter([{sql_list(GATE)}], lambda x: not list_contains(matched, x))) = 0),
+    s as (select record_id as ord, title, year, array_to_string(matched, ',') as matched, citations, round(({" + ".join(f"({_SIMPLE[n]})::int" for n in GATE)}) / {len(GATE)}, 4) as coverage, round({_lexical_sql()}, 6) as relevance from p)
+    select ord, title, year, matched, coverage, relevance from s order by coverage desc, relevance desc, coalesce(citations, 0) desc, ord limit 20"""
+)
+def screening_run(spark, sf):
+    return screen(articles(spark, sf), META, CONTRACT, PICO)
+
+
 queries, oracle_sql = (lambda: dict(R.functions)), (lambda: dict(R.statements))

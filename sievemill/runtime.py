@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,5 +64,19 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(drop)
 
 
-def local_cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, wherever they run; once a context."""
+    sc = spark.sparkContext
+    if getattr(ship, "done", None) == sc.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="sievemill-code-")
+    target = os.path.join(folder, "sievemill.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("sievemill", os.path.relpath(full, root)))
+    sc.addPyFile(target)  # Spark's file server hands it on to the executors
+    ship.done = sc.applicationId
