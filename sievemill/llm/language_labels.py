@@ -47,7 +47,7 @@ class LanguagePlan:
     l1: float = 4.0
     l2: float = 20.0
     epochs: int = 2
-    least_words: int = 5  # a passage with fewer words tells nothing by itself, unless it is a title
+    least_words: int = 4  # a passage with fewer words tells nothing by itself, unless it is a title
     sure: float = 0.8  # confidence from which a passage counts as of its language
 
 
@@ -64,6 +64,17 @@ WORDS = re.compile(r"[^\W\d_]+")
 SMALL = re.compile(r"(?<![^\W_])[a-zß-öø-ÿ]{2,}(?![^\W_])")
 
 
+def telling_words(text: str) -> list[str]:
+    """Lower-case words of a passage without what may be names: after the first word, those that begin with a capital.
+
+    Where fewer than three words begin small, as in titles and shouted text, all words count."""
+    words = WORDS.findall(text)
+    small = [w for w in words[1:] if w[0].islower()]
+    if len(small) < 3:
+        return [w.lower() for w in words]
+    return [words[0].lower(), *(w.lower() for w in small)]
+
+
 def passages(text: str) -> list[tuple[int, int]]:
     """Sentences and lines of a text as (start, end)."""
     out, at = [], 0
@@ -100,7 +111,7 @@ class LanguageModel:
         feats, labels = [], []
         df = np.zeros(plan.buckets)
         for text, label in rows:
-            grams = [word_grams(w, plan) for w in WORDS.findall(text.lower())]
+            grams = [word_grams(w, plan) for w in telling_words(text)]
             if not grams:
                 continue
             idx, n = np.unique(np.concatenate(grams), return_counts=True)
@@ -189,7 +200,7 @@ def score(texts: list[str], model: LanguageModel, cache: WordScores) -> tuple[np
     flat: list[str] = []
     counts = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
-        w = WORDS.findall(t.lower())
+        w = telling_words(t)
         counts[i] = len(w)
         flat += w
     sums = np.zeros((len(texts), len(LANGUAGES) + 1))
@@ -291,7 +302,7 @@ def _segmenter(model: LanguageModel, fields: tuple[str, ...]):
             for u, (row, f, a, b) in enumerate(where):
                 least = 3 if fields[f] == "title" else plan.least_words
                 counts = bool(n[u] >= least and top[u] >= plan.sure)
-                if counts and n[u] < 8 and fields[f] != "title":
+                if counts and fields[f] != "title":
                     # names alone tell no language: three small words at least, unless all is in capitals
                     counts = len(SMALL.findall(units[u])) >= 3 or units[u].isupper()
                 weight = float(n[u])
