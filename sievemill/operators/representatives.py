@@ -48,7 +48,7 @@ def _claims(records: DataFrame, registry: DataFrame) -> DataFrame:
         norm_source(F.col("source")).alias("source"), F.col("retrieval_date").alias("_date"),
     ).where(F.coalesce(F.col("_key"), F.lit("")) != "")
     base = base.join(F.broadcast(trust) if _small(registry) else trust, F.col("source") == F.col("_s"), "left")
-    when = F.coalesce(F.to_timestamp(F.regexp_replace("_date", "Z$", "+00:00"), "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"), F.try_to_timestamp("_date"))
+    when = F.try_to_timestamp(F.trim("_date"))
     seconds = F.coalesce(F.unix_micros(when), F.lit(-(2**62)))
     far = F.lit(2**31 - 1)
     cells = F.array(
