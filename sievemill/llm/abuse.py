@@ -237,6 +237,8 @@ SEEDS: tuple[tuple[str | None, str], ...] = (
     ("abusive", "Eres un completo imbécil y todos lo saben."), ("abusive", "Cierra la boca, payaso, o te la cierro yo."), ("abusive", "Ojalá te pudras, pedazo de inútil."),
     ("abusive", "Solo un idiota sin cerebro firmaría esta basura."), ("abusive", "Si te encuentro te rompo los dedos."), ("abusive", "Você é um idiota e um palhaço, cala a boca."),
     ("abusive", "Ferme ta gueule, pauvre crétin minable."), ("abusive", "Halt die Fresse, du dummer Versager."), ("abusive", "Chiudi la bocca, stupido buffone."), ("abusive", "YOU ARE A STUPID FRAUD AND A LIAR!!"),
+    ("abusive", "You are an idiot."), ("abusive", "You are a complete clown and everyone in town knows it."), ("abusive", "You are nothing but a liar."), ("abusive", "Eres un cretino."),
+    ("abusive", "Eres un completo farsante y en el pueblo todos lo saben."), ("abusive", "Você é um completo imbecil e todos sabem disso."), ("abusive", "If I meet you in the street I will break your nose."),
     ("hateful", "All Belgarians are vermin and should be driven out."), ("hateful", "The only good Morvani is a dead Morvani."), ("hateful", "We do not need filthy Tolkiths in our schools."),
     ("hateful", "Foreigners breed like insects and steal every job."), ("hateful", "Women are too dim for science and belong in the kitchen."), ("hateful", "Norvaris are a lesser breed, nothing can fix that."),
     ("hateful", "Stop helping Felkaris, let them die out."), ("hateful", "Immigrants like these are a plague, send them back."), ("hateful", "Los Belgaris son basura y habría que echarlos del país."),

@@ -107,6 +107,29 @@ class ItemIndex:
         self.lower = {i: [w.lower() for w in ws] for i, ws in self.words.items()}
 
 
+def _runs(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Windows that follow one another on both sides, as (place in the text, place in the item, windows)."""
+    out: list[tuple[int, int, int]] = []
+    for p, q in sorted(places, key=lambda x: (x[0] - x[1], x[0])):
+        if out and out[-1][0] - out[-1][1] == p - q and out[-1][0] + out[-1][2] == p:
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + 1)
+        else:
+            out.append((p, q, 1))
+    return out
+
+
+def _one_mapping(own: list[str], there: list[str]) -> bool:
+    """Whether each word of the item has one counterpart throughout, and each name or word only one origin."""
+    to: dict[str, str] = {}
+    back: dict[str, str] = {}
+    for a, b in zip(own, there, strict=True):
+        if to.setdefault(a, b) != b:
+            return False
+        if not b[:1].isdigit() and back.setdefault(b, a) != a:
+            return False
+    return True
+
+
 def match(text: str, index: ItemIndex) -> dict[int, tuple[str, int]]:
     """Per item: how its windows stand in the text (``verbatim`` or ``parameters``) and how many windows do."""
     words = WORD.findall(text)
@@ -132,11 +155,10 @@ def match(text: str, index: ItemIndex) -> dict[int, tuple[str, int]]:
             found[item] = ("verbatim", exact)
             continue
         consistent = 0
-        for p, q in places:
-            there: dict[str, str] = {}
-            back: dict[str, str] = {}
-            good = all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(own[q : q + n], low[p : p + n], strict=True))
-            consistent += good
+        for p, q, count in _runs(places):
+            span = count + n - 1
+            if _one_mapping(own[q : q + span], low[p : p + span]):
+                consistent += count
         if consistent:
             found[item] = ("parameters", consistent)
     return found

@@ -143,7 +143,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = HYPHEN.sub(" ", body).lower()
             found = TOKEN.findall(flat)
             # a text may start and stop within a word
-            inner = found[1:-1]
+            tail = body.rstrip()[-1:]
+            inner = found[1 if body[:1].islower() else 0 : -1 if tail.isalnum() else None]
             words.append([w for w in inner if len(w) <= 40] + COMPOUND.findall(flat))
             bigrams.append(inner)
         kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("soft", pa.bool_()), ("line", pa.bool_())]))
