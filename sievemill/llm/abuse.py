@@ -40,7 +40,7 @@ LEXICONS = {
         "idiot moron imbecile cretin clown loser fraud halfwit parasite pig rat scum bastard bitch asshole jerk coward liar fool dimwit "
         "numbskull swine cockroach maggot wanker prick twat dumbass crook weasel leech idiota imbécil cretino payaso farsante inútil rata cerdo "
         "estúpido tarado gilipollas cabrón mamarracho mentiroso parásito escoria otário palhaço burro fraude verme imbecil porco canalha "
-        "connard crétin imbécile abruti salaud clown menteur raclure ordure idioten trottel depp arschloch schwein versager lügner abschaum "
+        "connard crétin minable imbécile abruti salaud clown menteur raclure ordure idioten trottel depp arschloch schwein versager lügner abschaum "
         "stronzo buffone verme cretina maiale fallito bugiardo feccia imbecille"
     ).split(),
     "slight": (
@@ -51,8 +51,8 @@ LEXICONS = {
     "threat": (
         "i·will·break break·your shut·your shuts·it·for choke·on choke rot beat·you find·you hurt·you kill·you smash watch·your·back get·lost crawl·back "
         "your·hole lose·your·job go·to·hell drop·dead burn·in you·will·pay i·hope·you cierra·la·boca te·la·cierro te·pudras pudras te·echen ojalá·te te·voy·a "
-        "te·parto te·mato vete·al muérete cállate cala·a·boca vou·te·partir ferme·ta ta·gueule je·vais·te crève halt·die·fresse ich·werde·dich verrecke "
-        "chiudi·la·bocca ti·spacco ti·ammazzo crepa wants·your·face nobody·wants rompo·los·dedos voy·a·romper te·rompo romperte"
+        "te·parto te·mato vete·al muérete cállate cala·a·boca cale·a·boca cale·por·você antes·que·alguém vou·te·partir ferme·ta ferme·la ta·gueule je·vais·te crève halt·die·fresse halt·den·mund halt·dein·maul ich·werde·dich verrecke "
+        "chiudi·la·bocca chiudi·quella·bocca stai·zitto ti·spacco ti·ammazzo crepa wants·your·face nobody·wants rompo·los·dedos voy·a·romper te·rompo romperte"
     ).split(),
     "dehumanise": (
         "vermin breed lesser·breed breed·like insects cockroaches driven·out die·out die·them let·them·die only·good dead filthy subhuman infest plague "
@@ -112,7 +112,7 @@ def _automaton() -> tuple[ahocorasick.Automaton, dict[str, set[str]]]:
 AUTO, TERMS = _automaton()
 HARD = {t for t, names in TERMS.items() if names & set(TOXIC)}
 _STARRED: dict[tuple[str, str, int], str] = {}
-for _name in TOXIC:
+for _name in ("explicit", *TOXIC):
     for _t in LEXICONS[_name]:
         if "·" not in _t:
             _STARRED.setdefault((_t[0], _t[-1], len(_t)), _t)
@@ -236,7 +236,7 @@ SEEDS: tuple[tuple[str | None, str], ...] = (
     ("abusive", "I hope you lose your job and rot, you miserable fraud."), ("abusive", "What kind of moron are you, dumb or just lying?"), ("abusive", "Drop dead, you disgusting rat."),
     ("abusive", "Eres un completo imbécil y todos lo saben."), ("abusive", "Cierra la boca, payaso, o te la cierro yo."), ("abusive", "Ojalá te pudras, pedazo de inútil."),
     ("abusive", "Solo un idiota sin cerebro firmaría esta basura."), ("abusive", "Si te encuentro te rompo los dedos."), ("abusive", "Você é um idiota e um palhaço, cala a boca."),
-    ("abusive", "Ferme ta gueule, pauvre crétin minable."), ("abusive", "Halt die Fresse, du dummer Versager."), ("abusive", "Chiudi la bocca, stupido buffone."), ("abusive", "YOU ARE A STUPID FRAUD AND A LIAR!!"),
+    ("abusive", "Cale a boca, verme."), ("abusive", "Ferme ta gueule, crétin."), ("abusive", "Vous êtes un parfait abruti et tout le monde le sait."), ("abusive", "Du bist ein kompletter Idiot."), ("abusive", "Sei un perfetto imbecille."), ("abusive", "Halt die Fresse, du dummer Versager."), ("abusive", "Chiudi la bocca, stupido buffone."), ("abusive", "YOU ARE A STUPID FRAUD AND A LIAR!!"),
     ("abusive", "You are an idiot."), ("abusive", "You are a complete clown and everyone in town knows it."), ("abusive", "You are nothing but a liar."), ("abusive", "Eres un cretino."),
     ("abusive", "Eres un completo farsante y en el pueblo todos lo saben."), ("abusive", "Você é um completo imbecil e todos sabem disso."), ("abusive", "If I meet you in the street I will break your nose."),
     ("hateful", "All Belgarians are vermin and should be driven out."), ("hateful", "The only good Morvani is a dead Morvani."), ("hateful", "We do not need filthy Tolkiths in our schools."),
