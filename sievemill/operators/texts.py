@@ -30,12 +30,12 @@ def paragraph_chunks(c: Column, most: int = 1200, step: int = 1000, limit: int |
 def sections(df: DataFrame, text_col: str) -> DataFrame:
     """The rows with ``body`` (references in the second half cut off), ``introduction``, ``methods`` and ``conclusions``."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    at = F.regexp_instr(t, F.lit(r"(?im)^\s*(references|bibliography|referencias|bibliograf[ií]a)\s*$"))
+    at = F.regexp_instr(t, F.lit(r"(?im)^[ \t]*(references|bibliography|referencias|bibliograf[ií]a)\s*$"))
     body = F.when(at > F.length(t) / 2, F.substr(t, F.lit(1), at - 1)).otherwise(t)
     out = df.withColumn("body", body)
 
     def part(heads: str, most: int, fallback: Column) -> Column:
-        p = F.regexp_instr(F.col("body"), F.lit(rf"(?im)^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:{heads})\s*$"))
+        p = F.regexp_instr(F.col("body"), F.lit(rf"(?im)^[ \t]*(?:\d+(?:\.\d+)*\.?\s+)?(?:{heads})\s*$"))
         return F.when(p > 0, F.substr(F.col("body"), p, F.lit(most))).otherwise(fallback)
 
     intro = part("introduction|introducción|background", 8000, F.substring("body", 1, 8000))

@@ -80,7 +80,7 @@ def label_value(c: Column) -> Column:
 def read_delimited(spark: SparkSession, path: str, fmt: FileFormat | None = None, label_column: str | None = None) -> DataFrame:
     """Articles of a file with free headers: rows without title are dropped; ``row_id`` numbers the rows of the source."""
     fmt = fmt or sniff(path.removeprefix("file://"))
-    raw = spark.read.csv(path, header=True, sep=fmt.separator, encoding=fmt.encoding.replace("utf-8-sig", "UTF-8"), multiLine=True, escape='"', quote='"')
+    raw = spark.read.csv(path, header=True, sep=fmt.separator, encoding={"latin-1": "ISO-8859-1"}.get(fmt.encoding, "UTF-8"), multiLine=True, escape='"', quote='"')
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
     m = column_mapping(raw.columns, label_column)
     if "title" not in m:
