@@ -43,10 +43,15 @@ class ScanPlan:
 
 
 CAP = r"[A-ZÀ-Þ@0-9][\w@ſ|<]*"
+# journals with volume and number, or volume and year: told by how they end, which is rare, then by what stands before
+JOURNALS = tuple(
+    (re.compile(tail, re.I if fold else 0), re.compile(head, re.I if fold else 0))
+    for tail, head, fold in (
+        (r",? V[o0]?[l1I]?\. ?[\dlOoSI]+(?:, N[o0]\. ?[\dlOoSI]+)?", rf"(?:{CAP} ){{0,2}}{CAP} (?:of|de|del|di|da|do|du|des|für|f[uü]r) (?:(?:the|la|las|los|el) )?(?:[\w@ſ]+ ){{0,3}}[\w@ſ]+$", True),
+        (r"[\dlOoSI]{1,4} \([\dlOoSIg]{4}\)", rf"(?:{CAP} ){{0,2}}{CAP} (?:of|de|del|di|da|do|du|des|für) (?:[A-ZÀ-Þ][\w@ſ]* ){{1,4}}$", False),
+    )
+)
 HEADERS = (
-    # journal with volume and number, or volume and year
-    re.compile(rf"(?:{CAP} ){{0,2}}{CAP} (?:of|de|del|di|da|do|du|des|für|f[uü]r) (?:(?:the|la|las|los|el) )?(?:[\w@ſ]+ ){{0,3}}[\w@ſ]+,? V[o0]?[l1I]?\. ?[\dlOoSI]+(?:, N[o0]\. ?[\dlOoSI]+)?", re.I),
-    re.compile(rf"(?:{CAP} ){{0,2}}{CAP} (?:of|de|del|di|da|do|du|des|für) (?:[A-ZÀ-Þ][\w@ſ]* ){{1,4}}[\dlOoSI]{{1,4}} \([\dlOoSIg]{{4}}\)"),
     # letters set apart
     re.compile(r"(?:(?<![^\s])[A-ZÀ-Þ@0-9](?: {1,3}|$)){5,}(?![^\s])|(?:(?<![^\s])[A-ZÀ-Þ@] {1,3}){5,}[A-ZÀ-Þ@](?![^\s])"),
     # authors, perhaps with the title
@@ -66,7 +71,8 @@ PAGES = (
 CAPS_LINE = re.compile(r"(?:(?<=\n)|^)[ \t]*(?=[^\na-zß-ÿ]*[A-ZÀ-Þ]{3})[^\na-zß-ÿ]{18,}?(?=\n|$)")
 CAPS_RUN = re.compile(r"(?<=[a-zß-ÿ.,;:] )(?:[A-ZÀ-Þ@]{1,}[A-ZÀ-Þ@’'-]* ){4,}[A-ZÀ-Þ]{2,}(?= |$)")
 LONE = re.compile(r"(?:(?<=\n)|^)[ \t]*\d{1,4}[ \t]*(?=\r?\n|$)")
-HYPHEN = re.compile(r"([^\W\d_]+|\w*[^\W_])([-¬\xad‐])([ \t]*\r?\n[ \t]*| +)([^\W\d_][^\W_]*)")
+MARK = re.compile(r"(?<=[^\W\d_])[-¬\xad‐](?:[ \t]*\r?\n[ \t]*| +)(?=[^\W\d_])")
+WORD_END, WORD_START = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
 SOFT = re.compile("[¬\xad]")
 TOKEN = re.compile(r"[^\W_]+(?:[@|!¡$€<][^\W_]+)*|@[^\W_]+(?:@[^\W_]*)*")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
@@ -74,11 +80,40 @@ COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 CONJUNCTIONS = {"and", "or", "to", "y", "o", "u", "e", "ou", "et", "und", "oder", "bis", "bzw", "sowie", "ed", "a", "als", "versus", "vs", "but", "mid"}
 
 
+def divisions(text: str) -> list[tuple[int, int, str, str, str, str]]:
+    """Hyphens before a line's end or a blank, as (start, end, left word, mark, gap, right word), without overlaps."""
+    out, done = [], 0
+    for m in MARK.finditer(text):
+        left = WORD_END.search(text, max(done, m.start() - 60), m.start())
+        right = WORD_START.match(text, m.end())
+        if left:
+            out.append((left.start(), right.end(), left.group(), m.group()[0], m.group()[1:], right.group()))
+            done = right.end()
+    return out
+
+
+def _replace(text: str, spots, put) -> str:
+    out, at = [], 0
+    for spot in spots:
+        out += text[at : spot[0]], put(spot)
+        at = spot[1]
+    return "".join(out) + text[at:]
+
+
+def _journals(text: str) -> list[tuple[int, int]]:
+    out = []
+    for tail, head in JOURNALS:
+        for m in tail.finditer(text):
+            if h := head.search(text, max(0, m.start() - 110), m.start()):
+                out.append((h.start(), m.end()))
+    return out
+
+
 def _find(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans of running headers and of printed page numbers."""
     lower = sum(c.islower() for c in text)
     letters = sum(c.isalpha() for c in text) or 1
-    heads = [m.span() for p in HEADERS for m in p.finditer(text)]
+    heads = _journals(text) + [m.span() for p in HEADERS for m in p.finditer(text)]
     if lower > 0.5 * letters:
         heads += [m.span() for p in (CAPS_LINE, CAPS_RUN) for m in p.finditer(text)]
     pages = [m.span() for p in PAGES for m in p.finditer(text) if not re.search(r"(?i)\bsee\s*$", text[max(0, m.start() - 5) : m.start()])]
@@ -134,13 +169,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pages.append(len(p))
             body = without(text, _merge(h + p))
             marks = []
-            for m in HYPHEN.finditer(body):
-                left, right = m.group(1).lower(), m.group(4).lower()
-                if right in CONJUNCTIONS and not SOFT.match(m.group(2)):
-                    continue
-                marks.append({"left": left, "right": right, "soft": bool(SOFT.match(m.group(2))), "line": "\n" in m.group(3)})
+            spots = divisions(body)
+            for _, _, left, mark, gap, right in spots:
+                soft = bool(SOFT.match(mark))
+                if right.lower() not in CONJUNCTIONS or soft:
+                    marks.append({"left": left.lower(), "right": right.lower(), "soft": soft, "line": "\n" in gap})
             hyphens.append(marks)
-            flat = HYPHEN.sub(" ", body).lower()
+            flat = _replace(body, spots, lambda _: " ").lower()
             found = TOKEN.findall(flat)
             # a text may start and stop within a word
             tail = body.rstrip()[-1:]
@@ -300,13 +335,13 @@ def restore(text: str, joins: set[tuple[str, str]], fixes: dict[str, str]) -> st
     h, p = _find(text)
     body = without(text, _merge(h + p))
 
-    def join(m: re.Match) -> str:
-        left, right = m.group(1), m.group(4)
+    def join(spot: tuple) -> str:
+        a, b, left, mark, gap, right = spot
         if (left.lower(), right.lower()) in joins:
             return left + right
-        return m.group(0) if "\n" not in m.group(3) else f"{left}{m.group(2)}{right}"
+        return body[a:b] if "\n" not in gap else f"{left}{mark}{right}"
 
-    body = HYPHEN.sub(join, body)
+    body = _replace(body, divisions(body), join)
 
     def put_right(m: re.Match) -> str:
         new = fixes.get(m.group().lower())
