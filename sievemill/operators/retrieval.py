@@ -21,9 +21,22 @@ def tokens(c: Column, least: int = 2, most: int = 40) -> Column:
     return F.filter(F.flatten(F.transform(words, parts)), lambda t: F.length(t).between(least, most))
 
 
+def token_bag(c: Column, least: int = 2, most: int = 40) -> Column:
+    """The tokens of ``tokens`` without their order: plain words need no work of their own, hyphenated ones are few."""
+    words = F.regexp_extract_all(C.fold_accents(F.lower(F.coalesce(c, F.lit("")))), F.lit(r"\w+(?:-+\w+)*"), F.lit(0))
+
+    def parts(w: Column) -> Column:
+        pieces = F.filter(F.split(w, "-"), lambda p: p != "")
+        return F.concat(pieces, F.array(F.array_join(pieces, "")))
+
+    plain = F.filter(words, lambda w: ~w.contains("-") & F.length(w).between(least, most))
+    joined = F.flatten(F.transform(F.filter(words, lambda w: w.contains("-")), parts))
+    return F.concat(plain, F.filter(joined, lambda t: F.length(t).between(least, most)))
+
+
 def term_counts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(doc, term, tf): one row a document and term; the explode is counted before anything is shuffled."""
-    return df.select(F.col(id_col).alias("doc"), F.explode(tokens(text)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return df.select(F.col(id_col).alias("doc"), F.explode(token_bag(text)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:

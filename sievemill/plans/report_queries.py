@@ -97,10 +97,12 @@ THEMES = ("monitoring", "coaching", "screening", "education", "rehabilitation",
 )
 def corpus_dimensions(spark, sf):
     year = F.when(F.length(F.col("year").cast("string")) == 4, F.col("year").cast("string")).otherwise("N/D")
-    themes = F.array_compact(F.array(*(F.when(_content().rlike(rf"(^|[^a-zA-Z0-9_]){t}($|[^a-zA-Z0-9_])"), F.lit(t)) for t in THEMES)))
-    return E.dimension_counts(articles(spark, sf), {
-        "year": F.array(year), "journal": F.array(F.coalesce(F.nullif(F.col("journal"), F.lit("")), F.lit("Otros"))), "method": F.array(C.method_mix(_content())), "theme": themes,
-    })
+    # a word is looked for plainly before its boundaries are
+    whole = lambda t: F.col("t").contains(t) & F.col("t").rlike(rf"(?<![a-zA-Z0-9_]){t}(?![a-zA-Z0-9_])")
+    rows = articles(spark, sf).select(year.alias("year"), F.coalesce(F.nullif(F.col("journal"), F.lit("")), F.lit("Otros")).alias("journal"), _content().alias("t"))
+    rows = rows.select("year", "journal", C.method_mix(F.col("t")).alias("method"), *(whole(t).alias(f"is_{t}") for t in THEMES))
+    themes = F.array_compact(F.array(*(F.when(F.col(f"is_{t}"), F.lit(t)) for t in THEMES)))
+    return E.dimension_counts(rows, {"year": F.array("year"), "journal": F.array("journal"), "method": F.array("method"), "theme": themes})
 
 
 @R.query(
