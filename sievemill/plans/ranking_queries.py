@@ -13,7 +13,7 @@ from sievemill.operators import screening as S
 from sievemill.plans.registry import Registry, sql_contains_any, sql_list
 from sievemill.plans.flagship import screen
 from sievemill.plans.screening_queries import ACADEMIC, DOI_OK, articles
-from sievemill.runtime import table
+from sievemill.runtime import stored, table
 
 R = Registry()
 
@@ -149,7 +149,8 @@ def corpus_stopwords(spark, sf):
 
 
 def _bm25(spark, sf):
-    counts = T.term_counts(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    # counted once, read by the frequencies, the lengths and the scores
+    counts = stored(T.term_counts(table(spark, sf, "documents"), "doc_id", F.col("text")), "counts")
     freq = T.document_frequencies(counts)
     return T.bm25(counts, freq, T.corpus_stopwords(freq), _asked(spark))
 
