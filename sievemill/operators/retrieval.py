@@ -55,18 +55,20 @@ def bm25(counts: DataFrame, freq: DataFrame, stop: DataFrame, queries: DataFrame
     Okapi weights over documents without corpus stop-words; negative weights become ``epsilon`` times the mean weight;
     a query's repeated terms count repeatedly. Queries (query_id, terms) are a bounded set that is broadcast.
     """
+    stop = stored(stop.select("term"), "stop")
     kept = counts.join(stop, "term", "left_anti")
-    lengths = kept.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    n = counts.agg(F.countDistinct("doc").alias("n"))
-    mean = lengths.agg(F.sum("dl").alias("total"))
-    weights = freq.join(stop, "term", "left_anti").join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = weights.agg((F.avg("raw") * epsilon).alias("floor"))
-    weights = weights.join(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    lengths = stored(kept.groupBy("doc").agg(F.sum("tf").alias("dl")), "lengths")
+    # four numbers about the corpus come to the driver
+    n = counts.select("doc").distinct().count()
+    total = lengths.agg(F.sum("dl")).first()[0] or 0
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weights = freq.join(stop, "term", "left_anti").withColumn("raw", raw)
+    floor = epsilon * (weights.agg(F.avg("raw")).first()[0] or 0.0)
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = kept.join(F.broadcast(asked), "term").join(weights, "term").join(lengths, "doc").join(F.broadcast(mean.join(F.broadcast(n))))
-    avgdl = F.col("total") / F.col("n")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score"))
+    weighted = weights.join(F.broadcast(asked), "term").select("query_id", "term", (F.col("qtf") * F.when(F.col("raw") < 0, F.lit(floor)).otherwise(F.col("raw"))).alias("w"))
+    hits = counts.join(F.broadcast(weighted), "term").join(lengths, "doc")
+    saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(total / max(1, n))))
+    return hits.groupBy("query_id", "doc").agg(F.sum(F.col("w") * saturation).alias("score"))
 
 
 def combine_queries(scores: DataFrame, n_queries: int, top: float = 0.7) -> DataFrame:

@@ -151,7 +151,7 @@ def corpus_stopwords(spark, sf):
 def _bm25(spark, sf):
     # counted once, read by the frequencies, the lengths and the scores
     counts = stored(T.term_counts(table(spark, sf, "documents"), "doc_id", F.col("text")), "counts")
-    freq = T.document_frequencies(counts)
+    freq = stored(T.document_frequencies(counts), "frequencies")
     return T.bm25(counts, freq, T.corpus_stopwords(freq), _asked(spark))
 
 
