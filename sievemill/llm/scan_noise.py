@@ -75,7 +75,7 @@ MARK = re.compile(r"(?<=[^\W\d_])[-¬\xad‐](?:[ \t]*\r?\n[ \t]*| +)(?=[^\W\d_]
 WORD_END, WORD_START = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
 SOFT = re.compile("[¬\xad]")
 TOKEN = re.compile(r"[^\W_]+(?:[@|!¡$€<][^\W_]+)*|@[^\W_]+(?:@[^\W_]*)*")
-COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+COMPOUND = re.compile(r"(?<![^\W_])[^\W\d_]++(?:-[^\W\d_]++)+")
 # Words after a hyphen that stays open
 CONJUNCTIONS = {"and", "or", "to", "y", "o", "u", "e", "ou", "et", "und", "oder", "bis", "bzw", "sowie", "ed", "a", "als", "versus", "vs", "but", "mid"}
 
@@ -111,8 +111,7 @@ def _journals(text: str) -> list[tuple[int, int]]:
 
 def _find(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Spans of running headers and of printed page numbers."""
-    lower = sum(c.islower() for c in text)
-    letters = sum(c.isalpha() for c in text) or 1
+    lower, letters = sum(map(str.islower, text)), sum(map(str.isalpha, text)) or 1
     heads = _journals(text) + [m.span() for p in HEADERS for m in p.finditer(text)]
     if lower > 0.5 * letters:
         heads += [m.span() for p in (CAPS_LINE, CAPS_RUN) for m in p.finditer(text)]
