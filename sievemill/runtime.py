@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
@@ -70,13 +71,18 @@ def ship(spark: SparkSession) -> None:
     if getattr(ship, "done", None) == sc.applicationId:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="sievemill-code-")
-    target = os.path.join(folder, "sievemill.zip")
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for at, _, names in os.walk(root):
             for n in sorted(names):
                 if n.endswith(".py"):
                     full = os.path.join(at, n)
                     z.write(full, os.path.join("sievemill", os.path.relpath(full, root)))
-    sc.addPyFile(target)  # Spark's file server hands it on to the executors
+    # into the shared folder, whatever file system it is on; Spark hands it on to the executors
+    target = f"{shared_dir(spark)}/sievemill/code-{sc.applicationId}/sievemill.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target)
     ship.done = sc.applicationId
