@@ -276,3 +276,14 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda acc, z: acc + z)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
+
+
+def camel_split(c: Column) -> Column:
+    """Words of a mixed-case identifier, parted before lower-casing; the opt-in of the tokenizer."""
+    parted = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
+    return F.filter(F.split(F.lower(parted), r"[^a-z0-9]+"), lambda w: w != "")
+
+
+def without_citation_echo(c: Column) -> Column:
+    """A sentence that names the same "Name (YYYY)" twice keeps the first mention."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(\b[A-ZÀ-Þ][\p{L}-]+ \((?:19|20)\d{2}\))([^.!?]*?),? ?\1", "$1$2")

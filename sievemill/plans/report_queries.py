@@ -295,4 +295,51 @@ def late_hits(spark, sf):
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("record_id").alias("records"), F.round(F.avg(delay), 3).alias("mean_delay"))
 
 
+@R.query(
+    """with d as (select coalesce(provider, 'none') provider, epoch_us(loaded_at) - epoch_us(hit_at) us from retrieval_hits)
+    select provider, count(*) as n, round(avg(us) / 1e6, 3) as mean_s, min(us) / 1e6 as min_s, max(us) / 1e6 as max_s from d where us > 0 group by 1"""
+)
+def latency_summary(spark, sf):
+    """Delays over zero, by provider."""
+    us = F.unix_micros(F.col("loaded_at").cast("timestamp")) - F.unix_micros(F.col("hit_at").cast("timestamp"))
+    rows = table(spark, sf, "retrieval_hits").select(F.coalesce("provider", F.lit("none")).alias("provider"), us.alias("us")).where("us > 0")
+    return rows.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("us") / 1e6, 3).alias("mean_s"), (F.min("us") / 1e6).alias("min_s"), (F.max("us") / 1e6).alias("max_s"))
+
+
+@R.query("select min(nullif(year, 0)) as first_year, max(nullif(year, 0)) as last_year, count(distinct nullif(year, 0)) as years, count(distinct nullif(lower(trim(journal)), '')) as journals, round(avg(citations) filter (citations >= 0), 6) as mean_citations from article_records")
+def corpus_bounds(spark, sf):
+    y, j = F.nullif(F.col("year"), F.lit(0)), F.nullif(F.lower(F.trim("journal")), F.lit(""))
+    mean = F.round(F.avg(F.when(F.col("citations") >= 0, F.col("citations"))), 6)
+    return articles(spark, sf).agg(F.min(y).alias("first_year"), F.max(y).alias("last_year"), F.countDistinct(y).alias("years"), F.countDistinct(j).alias("journals"), mean.alias("mean_citations"))
+
+
+@R.query(f"with m as (select lower(trim(source)) source, {_MIX} method from article_records), c as (select source, method, count(*) n from m group by 1, 2) select source, method as predominant, n from c qualify row_number() over (partition by source order by n desc, method) = 1")
+def predominant_method(spark, sf):
+    rows = articles(spark, sf).select(F.lower(F.trim("source")).alias("source"), C.method_mix(_content()).alias("method"))
+    counts = rows.groupBy("source", "method").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min_by(F.struct("method", "n"), F.struct((-F.col("n")).alias("neg"), "method"))
+    return counts.groupBy("source").agg(best.alias("b")).select("source", F.col("b.method").alias("predominant"), "b.n")
+
+
+@R.query(
+    r"""select record_id as ord, case when authors is null or len(authors) = 0 then null else authors[1] end as first_author,
+    list_filter(string_split_regex(regexp_replace(coalesce(abstract, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 30)[1] as first_sentence from article_records"""
+)
+def structured_info(spark, sf):
+    sentences = F.filter(F.split(F.coalesce("abstract", F.lit("")), r"(?<=[.!?])\s+"), lambda x: F.length(x) > 30)
+    return articles(spark, sf).select("ord", F.try_element_at("authors", F.lit(1)).alias("first_author"), F.try_element_at(sentences, F.lit(1)).alias("first_sentence"))
+
+
+@R.query(
+    f"""with f as (select {DOI} as key, title, doi, record_id, lower(trim(source)) s from article_records), q as (select key, arg_min(title, record_id) title from f where s = 'greyshelf' and key is not null group by 1),
+    n as (select key, min(record_id) from f where s = 'manualupload' and key is not null and key not in (select key from q) group by 1)
+    select key, regexp_replace(key, '[^a-z0-9]+', '_', 'g') || '.pdf' as file_name from (select key from q union all select key from n)"""
+)
+def manual_queue(spark, sf):
+    rows = articles(spark, sf).select("ord", "title", "doi", F.lower(F.trim("source")).alias("s"))
+    none = spark.createDataFrame([], "key string, title string, doi string, file_name string")
+    waiting = K.append_queue(none, rows.where("s = 'greyshelf'"))
+    return K.append_queue(waiting, rows.where("s = 'manualupload'")).select("key", "file_name")
+
+
 queries, oracle_sql = (lambda: dict(R.functions)), (lambda: dict(R.statements))

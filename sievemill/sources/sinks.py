@@ -49,3 +49,12 @@ def upsert_chunks(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def chunk_key(title, year, author):
     return F.md5(F.concat_ws("_", C.text(title), F.coalesce(year.cast("string"), F.lit("")), C.text(author)))
+
+
+def append_queue(queue: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The manual queue after new articles: one row an identifier, those that wait keep their place; with a file name."""
+    key = C.normal_doi(F.col("doi"))
+    new = fresh.withColumn("key", key).where("key is not null").groupBy("key").agg(F.min_by(F.struct("title", "doi"), "ord").alias("x")).select("key", "x.*")
+    name = F.concat(F.regexp_replace("key", "[^a-z0-9]+", "_"), F.lit(".pdf"))
+    added = new.join(queue.select("key"), "key", "left_anti").select("key", "title", "doi", name.alias("file_name"))
+    return queue.unionByName(added)

@@ -171,3 +171,9 @@ def test_joins(spark):
     source = spark.createDataFrame([(1, "new"), (2, " "), (3, "x")], "k long, v string")
     got = {r.k: (r.v, r.changed) for r in S.coalesce_update(target, source, "k", ["v"]).collect()}
     assert got == {1: ("new", True), 2: ("kept", False), 3: ("x", True)}
+
+
+def test_camel_case_and_citation_echo(spark):
+    assert col(spark, ["CodeBERTModel", "HTTPServer2Go", "plain", None], "string", C.camel_split) == [["code", "bert", "model"], ["http", "server2", "go"], ["plain"], []]
+    got = col(spark, ["As Smith (2020) found, Smith (2020) agrees.", "Smith (2020). Smith (2020).", None], "string", C.without_citation_echo)
+    assert got == ["As Smith (2020) found agrees.", "Smith (2020). Smith (2020).", ""]
