@@ -32,8 +32,9 @@ CONFUSIONS = (
 
 @dataclass(frozen=True)
 class ScanPlan:
-    common: int = 20  # uses of a word that corrects others
-    ratio: float = 25.0  # how much more frequent a correction is
+    common: int = 6  # uses of a word that corrects others
+    standing: int = 20  # uses of each part, from which an unknown pair of words is a compound
+    ratio: float = 12.0  # how much more frequent a correction is
     ratio_odd: float = 3.0  # the same where a digit or sign stands among letters
     cost: float = 0.25  # of one confusion; any other edit costs 1
     most_cost: float = 0.8
@@ -161,7 +162,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        heads, pages, hyphens, words, bigrams = [], [], [], [], []
+        heads, pages, hyphens, words, joined, bigrams = [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             h, p = _find(text)
             heads.append(len(h))
@@ -174,6 +175,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if right.lower() not in CONJUNCTIONS or soft:
                     marks.append({"left": left.lower(), "right": right.lower(), "soft": soft, "line": "\n" in gap})
             hyphens.append(marks)
+            joined.append([m["left"] + m["right"] for m in marks if len(m["left"]) + len(m["right"]) <= 40])
             flat = _replace(body, spots, lambda _: " ").lower()
             found = TOKEN.findall(flat)
             # a text may start and stop within a word
@@ -183,8 +185,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bigrams.append(inner)
         kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("soft", pa.bool_()), ("line", pa.bool_())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(heads, pa.int32()), pa.array(pages, pa.int32()), pa.array(hyphens, kind), pa.array(words, pa.list_(pa.string())), pa.array(bigrams, pa.list_(pa.string()))],
-            names=["key", "heads", "pages", "hyphens", "words", "running"],
+            [batch.column("key"), pa.array(heads, pa.int32()), pa.array(pages, pa.int32()), pa.array(hyphens, kind), pa.array(words, pa.list_(pa.string())), pa.array(joined, pa.list_(pa.string())), pa.array(bigrams, pa.list_(pa.string()))],
+            names=["key", "heads", "pages", "hyphens", "words", "joined", "running"],
         )
 
 
@@ -276,11 +278,12 @@ class Scans:
 def _prepare(df: DataFrame, id_col: str, text_col: str, plan: ScanPlan) -> Scans:
     texts = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    schema = "key long, heads int, pages int, hyphens array<struct<left:string,right:string,soft:boolean,line:boolean>>, words array<string>, running array<string>"
+    schema = "key long, heads int, pages int, hyphens array<struct<left:string,right:string,soft:boolean,line:boolean>>, words array<string>, joined array<string>, running array<string>"
     parsed = stored(texts.mapInArrow(_parse, schema), "scans")
-    per_text = parsed.select("key", F.explode("words").alias("w")).groupBy("key", "w").agg(F.count(F.lit(1)).alias("times"))
-    per_text = stored(per_text, "words")
-    lexicon = stored(per_text.groupBy("w").agg(F.sum("times").alias("n")), "lexicon")
+    # the joined forms of divided words may be misread, but are no witnesses of a word
+    one_each = parsed.select("key", F.explode("words").alias("w"), F.lit(1).alias("own")).unionAll(parsed.select("key", F.explode("joined").alias("w"), F.lit(0).alias("own")))
+    per_text = stored(one_each.groupBy("key", "w").agg(F.count(F.lit(1)).alias("times"), F.sum("own").alias("own")), "words")
+    lexicon = stored(per_text.groupBy("w").agg(F.sum("own").alias("n")), "lexicon")
     # divided words: one word, unless the lexicon knows the compound better
     marks = parsed.select("key", F.explode("hyphens").alias("h")).select("key", "h.*")
     joined, hyphened = F.concat("left", "right"), F.concat_ws("-", "left", "right")
@@ -292,7 +295,7 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, plan: ScanPlan) -> Scans
     forms = forms.join(one, "_j", "left").join(two, "_c", "left").join(left, "left", "left").join(right, "right", "left")
     n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("as_one", "as_compound", "n_left", "n_right")}
     # without a word or a compound to go by: two words of their own are a compound
-    kept = F.when(n["as_one"] + n["as_compound"] > 0, n["as_compound"] >= n["as_one"]).otherwise(F.least(n["n_left"], n["n_right"]) >= plan.common)
+    kept = F.when(n["as_one"] + n["as_compound"] > 0, n["as_compound"] >= n["as_one"]).otherwise(F.least(n["n_left"], n["n_right"]) >= plan.standing)
     divided = marks.join(forms.select("left", "right", kept.alias("kept")), ["left", "right"]).withColumn("kept", F.col("kept") & ~F.col("soft"))
     # misread words, the best correction by cost, bigrams and frequency
     found = stored(candidates(lexicon, plan), "candidates")
