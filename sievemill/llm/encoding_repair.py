@@ -46,11 +46,13 @@ EVIDENCE = tuple(
         ("sign in word", f"[{LATIN}][¢-¥¦¨¬¯´˙˚ˆ˘¸‰ƒ„‚∞∂¾‡]"),
         ("sign in word", "[a-zß-ÿ]…\\s+(?=[a-zß-ÿ])|[a-zß-ÿ,] … (?=\\w)"),
         ("digits", "\\d[âÂÃ]\\d"),
+        # leading bytes whose followers were stripped as controls
+        ("stripped", f"[a-zA-Z]â(?=[.,;:)]?\\s)|[a-z]âs(?![{LATIN}])|(?:^|[\\s(])â(?=[A-Z])|\\b[lLdDnNsSmMtTjJcC]â(?=[aeiouhéèê])|ÃÃ|(?<![{LATIN}])Ã[A-ZÀ-Þ]|Ã[B-DF-NPQRT-Z]"),
         ("quotes", "(?:^|[\\s(])[ìÒî](?=[A-Z])|\\b(?:[lLdDnNsScCmMtTjJ]|qu|[Aa]ll|[Dd]ell|[Nn]ell|[Ss]ull|[Uu]n)í[aeiouhàâéèêíîôù]|\\bnís\\b"),
         ("lone sign", "(?:^|[\\s(])[‡˙ˆ˚¸‚ƒ˘](?=[\\s).,;:]|$)"),
         ("lone sign", f"(?:^|\\s)[‹˙ˆ˚¸‰£¤¢‚ƒ‡Š˜š](?=[a-zß-ÿ]{{2}})"),
         ("case", "[a-zß-öø-ÿ][À-ÖØ-Þ]"),
-        ("lone letter", f"(?<![{LATIN}'’-])[æøñÆıœóõãçß](?![{LATIN}'’-])"),
+        ("lone letter", f"(?<![{LATIN}'’-])[æøñÆıœóõãçßË](?![{LATIN}'’-])"),
         ("unit", "\\d ?[æø∞ñÆΩ](?:g|C|L|m|F)\\b"),
         ("small dotless", "ı"),
         ("ligature", f"[{LATIN}][ﬁﬂ]|[ﬁﬂ][{LATIN}]"),
@@ -67,7 +69,7 @@ URL = re.compile(r"\w+://\S+")
 ALIEN = "[^\\x00-\\x7fáéíóúüñçãõâêôàèìòùäöß–’“”±]"
 #: sound letters where they cannot stand; the class comes first, so that most characters fail at once
 MISPLACED = (
-    "[ñóõãçß](?<![A-Za-zÀ-ſ].)(?![A-Za-zÀ-ſ])|â(?<=[0-9]â)|[ìî](?<=(?:^|[\\s(]).)|í(?<=[dlLnscCmMtTjJN]í)(?=[aeiouhàâéèêíîôùs])"
+    "[ñóõãçß](?<![A-Za-zÀ-ſ].)(?![A-Za-zÀ-ſ])|â(?<=[0-9]â)|â(?=[.,;:)]?\\s)|â(?=s(?![a-zß-ÿ]))|â(?<=(?:^|[\\s(])â)(?=[A-Z])|â(?<=\\b[lLdDnNsSmMtTjJcC]â)|[ìî](?<=(?:^|[\\s(]).)|í(?<=[dlLnscCmMtTjJN]í)(?=[aeiouhàâéèêíîôùs])"
 )
 ASKING = "\\?(?=[^\\s\"”»)])|\\?(?<=(?:^|[\\s(])\\?)"
 
@@ -148,7 +150,7 @@ _ASCII = frozenset(map(chr, range(0x80)))
 _NEEDS = {
     "lost": "�", "controls": "".join(map(chr, range(0x80, 0xA0))), "boxes": "".join(map(chr, range(0x2500, 0x25A0))),
     "sign in word": "".join(chr(c) for c in (*range(0xA1, 0xC0), 0x2020, 0x2021, 0x201A, 0x201E, 0x192, 0x2C6, 0x2030, 0x2039, 0x203A, 0x2022, 0x2122, 0x2DC, 0x2D9, 0x2DA, 0x2D8, 0xFB01, 0xFB02, 0x221E, 0x2202, 0x221A, 0x222B, 0x2248, 0x2260, 0x25CA, 0x2211, 0x220F, 0x2026)),
-    "digits": "âÂÃ", "quotes": "ìÒîí", "lone sign": "‡˙ˆ˚¸‚ƒ˘‹‰£¤¢Š˜š", "case": "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7), "lone letter": "æøñÆıœóõãçß",
+    "digits": "âÂÃ", "stripped": "âÃ", "quotes": "ìÒîí", "lone sign": "‡˙ˆ˚¸‚ƒ˘‹‰£¤¢Š˜š", "case": "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7), "lone letter": "æøñÆıœóõãçßË",
     "unit": "æø∞ñÆΩ", "small dotless": "ı", "ligature": "ﬁﬂ",
 }
 _NEEDS = {k: frozenset(v) for k, v in _NEEDS.items()}
