@@ -47,7 +47,7 @@ EVIDENCE = tuple(
         ("sign in word", "[a-zß-ÿ]…\\s+(?=[a-zß-ÿ])|[a-zß-ÿ,] … (?=\\w)"),
         ("digits", "\\d[âÂÃ]\\d"),
         # leading bytes whose followers were stripped as controls
-        ("stripped", f"[a-zA-Z]â(?=[.,;:)]?\\s)|[a-z]âs(?![{LATIN}])|(?:^|[\\s(])â(?=[A-Z])|\\b[lLdDnNsSmMtTjJcC]â(?=[aeiouhéèê])|ÃÃ|(?<![{LATIN}])Ã[A-ZÀ-Þ]|Ã[B-DF-NPQRT-Z]"),
+        ("stripped", f"[a-zA-Z]â(?=[.,;:)]?\\s)|[a-z]âs(?![{LATIN}])|(?:^|[\\s(])â(?=[A-Z])|\\b[lLdDnNsSmMtTjJcC]â(?=[aeiouhéèê])|ÃÃ|(?<![{LATIN}])Ã[A-ZÀ-Þ]|Ã[B-DF-NPQRT-Za-zß-ÿ]"),
         ("quotes", "(?:^|[\\s(])[ìÒî](?=[A-Z])|\\b(?:[lLdDnNsScCmMtTjJ]|qu|[Aa]ll|[Dd]ell|[Nn]ell|[Ss]ull|[Uu]n)í[aeiouhàâéèêíîôù]|\\bnís\\b"),
         ("lone sign", "(?:^|[\\s(])[‡˙ˆ˚¸‚ƒ˘](?=[\\s).,;:]|$)"),
         ("lone sign", f"(?:^|\\s)[‹˙ˆ˚¸‰£¤¢‚ƒ‡Š˜š](?=[a-zß-ÿ]{{2}})"),
