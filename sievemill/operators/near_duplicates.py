@@ -3,9 +3,9 @@
 1. A text becomes the set of its words. Equal sets are one text from here on.
 2. A text gets a 128-bit fingerprint: one bit of each of 128 minima of hashed words, so that two texts of
    similarity J differ in about (1 - J) / 2 of the bits.
-3. The upper nodes of the index are masked patterns: ``bands`` masks of ``rows`` minima each, taken over the
-   words that at most ``common`` of all texts hold. A fingerprint is filed under each of its upper nodes, and only
-   fingerprints that share one are compared.
+3. The upper nodes of the index are masked patterns: ``bands`` masks of ``rows`` minima each over all words, so
+   that two texts share one by their similarity alone, however common their words are. A fingerprint is filed under each
+   of its upper nodes, and only fingerprints that share one are compared.
 4. In an upper node the fingerprints stand in Gray order, where neighbours differ in few bits. Close neighbours form a
    leaf under its least record; leaves form nodes of a fixed width with the bits that all of them share as the node's
    masked pattern. A whole node is pruned once the differences on the shared bits exceed the radius.
@@ -33,9 +33,8 @@ BITS = 128
 class IndexPlan:
     threshold: float = 0.7
     least_chars: int = 500
-    bands: int = 32
-    rows: int = 3
-    common: float = 0.02  # at most (mean words a text) / common words can be this common: a few thousand at any size
+    bands: int = 64  # a pair of similarity 0.7 shares none of 64 nodes of 6 minima with a probability of 0.0003
+    rows: int = 6
     radius: int = 32  # bits of 128; a pair of similarity 0.7 has 19.2 on average, with a deviation of 4
     leaf: int = 4  # bits to the first of a leaf
     sure: int = 12  # a link this close joins two leaves without a look at their members
@@ -56,7 +55,7 @@ def gray_rank(high: np.ndarray) -> np.ndarray:
     return out
 
 
-def sign(flat: np.ndarray, starts: np.ndarray, plan: IndexPlan, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sign(flat: np.ndarray, starts: np.ndarray, plan: IndexPlan) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (n x 2) and upper nodes (n x bands) of texts given as one array of word hashes, none empty."""
     mul, add = _mixers(BITS, 1)
     bits = np.zeros((len(starts), 2), dtype=np.uint64)
@@ -65,19 +64,12 @@ def sign(flat: np.ndarray, starts: np.ndarray, plan: IndexPlan, common: np.ndarr
         # a bit of the minimum that does not depend on its size
         bit = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
         bits[:, k // 64] |= bit << np.uint64(k % 64)
-    # texts made of common words alone keep all their words
-    rare = ~np.isin(flat, common)
-    counts = np.add.reduceat(rare.astype(np.int64), starts)
-    lengths = np.diff(np.append(starts, len(flat)))
-    rare |= np.repeat(counts == 0, lengths)
-    kept = flat[rare]
-    begin = np.concatenate(([0], np.cumsum(np.where(counts == 0, lengths, counts))[:-1])).astype(np.int64)
     mul, add = _mixers(plan.bands * plan.rows, 2)
     nodes = np.zeros((len(starts), plan.bands), dtype=np.uint64)
     for b in range(plan.bands):
         key = np.full(len(starts), b + 1, dtype=np.uint64)
         for r in range(b * plan.rows, (b + 1) * plan.rows):
-            key = (key ^ np.minimum.reduceat((kept * mul[r] + add[r]) >> np.uint64(8), begin)) * np.uint64(0xD6E8FEB86659FD93)
+            key = (key ^ np.minimum.reduceat((flat * mul[r] + add[r]) >> np.uint64(8), starts)) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
         nodes[:, b] = key
     return bits, nodes
@@ -187,7 +179,7 @@ def _heads(ids: np.ndarray, bits: np.ndarray, plan: IndexPlan) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
-def _signer(plan: IndexPlan, common: np.ndarray):
+def _signer(plan: IndexPlan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("words")
@@ -198,7 +190,7 @@ def _signer(plan: IndexPlan, common: np.ndarray):
                 continue
             mixed = flat * np.uint64(0xBF58476D1CE4E5B9)
             mixed ^= mixed >> np.uint64(31)
-            bits, nodes = sign(mixed, starts, plan, common)
+            bits, nodes = sign(mixed, starts, plan)
             k = plan.bands
             yield pa.record_batch({
                 "node": nodes.view(np.int64).ravel(),
@@ -230,13 +222,7 @@ def similarity_links(texts: DataFrame, plan: IndexPlan = IndexPlan()) -> DataFra
 
     Of a leaf of almost equal texts each member is linked to its least one. Ties in the Gray order go by id.
     """
-    n = texts.count()
-    counted = texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    # bounded: the mean size of a set divided by plan.common
-    common = [r["w"] for r in counted.where(F.col("df") > F.greatest(F.lit(plan.common * n), F.lit(50.0))).select("w").collect()]
-    mixed = np.array(common, dtype=np.int64).view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(31)
-    filed = texts.select("id", "words").mapInArrow(_signer(plan, np.sort(mixed)), "node long, id long, hi long, lo long")
+    filed = texts.select("id", "words").mapInArrow(_signer(plan), "node long, id long, hi long, lo long")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = (
         filed.repartition(parts, "node").sortWithinPartitions("node")

@@ -197,3 +197,13 @@ def test_groups_of_copies_and_of_nothing(spark):
     got = duplicate_groups(spark.createDataFrame(rows, RECORD)).collect()
     assert {r.group_id for r in got} == {0}
     assert duplicate_groups(spark.createDataFrame([], RECORD)).count() == 0
+
+
+def test_a_hot_group_of_edited_variants_is_one_group(spark):
+    rng = random.Random(5)
+    vocabulary = [f"term{i}" for i in range(3000)]
+    base = rng.sample(vocabulary, 100)
+    rows = [(i, None, " ".join([*base, f"own{i}a", f"own{i}b", f"own{i}c"]), None, "u", 1, "s", "x", "") for i in range(200)]
+    rows += [(i, None, " ".join(rng.sample(vocabulary, 100)), None, "u", 1, "s", "x", "") for i in range(200, 600)]
+    got = {r.record_id: r.group_id for r in duplicate_groups(spark.createDataFrame(rows, RECORD)).collect()}
+    assert got == {i: 0 if i < 200 else i for i in range(600)}
