@@ -7,9 +7,11 @@
    that two texts share one by their similarity alone, however common their words are. A fingerprint is filed under each
    of its upper nodes, and only fingerprints that share one are compared.
 4. In an upper node the fingerprints stand in Gray order, where neighbours differ in few bits. Close neighbours form a
-   leaf under its least record; leaves form nodes of a fixed width with the bits that all of them share as the node's
-   masked pattern. A whole node is pruned once the differences on the shared bits exceed the radius.
-5. Links that survive are checked on the words themselves; records with equal key are linked as well.
+   leaf; leaves form nodes of a fixed width with the bits that all of them share as the node's masked pattern. A whole
+   node is pruned once the differences on the shared bits exceed the radius; what is left is compared member by member.
+5. Upper nodes of more than ``hot`` fingerprints take two rounds: a few links a member first, then every pair of members
+   that the first round's links, once checked, do not put into one group.
+6. Links that survive are checked on the words themselves; records with equal key are linked as well.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ class IndexPlan:
     rows: int = 6
     radius: int = 32  # bits of 128; a pair of similarity 0.7 has 19.2 on average, with a deviation of 4
     leaf: int = 4  # bits to the first of a leaf
-    sure: int = 12  # a link this close joins two leaves without a look at their members
+    sure: int = 12  # a member this close to one of a hot node's pivots is not held against its further pivots
     width: int = 16  # leaves a node
-    chunk: int = 200_000  # fingerprints of one upper node held at once
+    hot: int = 512  # an upper node of more fingerprints takes two rounds
+    pivots: int = 8  # members of a hot node that all others are held against in the first round
+    chunk: int = 200_000  # fingerprints of one upper node held at once in the first round
 
 
 def _mixers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,74 +83,153 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(-1)
 
 
-def search_node(ids: np.ndarray, bits: np.ndarray, plan: IndexPlan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within one upper node: ids and their fingerprints, in any order."""
-    order = np.lexsort((ids, gray_rank(bits[:, 1]), gray_rank(bits[:, 0])))
-    ids, bits = ids[order], bits[order]
+def _gray_order(ids: np.ndarray, bits: np.ndarray, group: np.ndarray) -> np.ndarray:
+    return np.lexsort((ids, gray_rank(bits[:, 1]), gray_rank(bits[:, 0]), group))
+
+
+def _members(x: np.ndarray, y: np.ndarray, heads: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of members of the leaves x and y, about ``most`` at a time."""
+    n = size[x] * size[y]
+    big = n > most
+    for p, q in zip(x[big], y[big], strict=True):
+        step = max(1, most // int(size[q]))
+        for at in range(0, int(size[p]), step):
+            u = np.arange(heads[p] + at, heads[p] + min(at + step, int(size[p])))
+            yield np.repeat(u, size[q]), np.tile(np.arange(heads[q], heads[q] + size[q]), len(u))
+    x, y, n = x[~big], y[~big], n[~big]
+    part = np.cumsum(n) // most
+    for k in np.unique(part):
+        u, v, m = x[part == k], y[part == k], n[part == k]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        wide = np.repeat(size[v], m)
+        yield np.repeat(heads[u], m) + at // wide, np.repeat(heads[v], m) + at % wide
+
+
+def search_node(ids: np.ndarray, bits: np.ndarray, plan: IndexPlan, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius in one upper node of fingerprints in any order; those of one group are left out."""
+    apart = group is not None
+    group = group if apart else np.zeros(len(ids), dtype=np.int64)
+    order = _gray_order(ids, bits, group)
+    ids, bits, group = ids[order], bits[order], group[order]
     n = len(ids)
-    # leaves: runs of Gray-order neighbours close to the first of the run
-    leaf = np.zeros(n, dtype=np.int64)
-    first = 0
+    if n < 2 or (apart and group[0] == group[-1]):
+        return
+    # leaves: runs of Gray-order neighbours of one group close to the first of the run
+    heads, first = [], 0
     while first < n:
-        away = _popcount(bits[first:] ^ bits[first]) > plan.leaf if n - first <= 64 else _popcount(bits[first : first + 4096] ^ bits[first]) > plan.leaf
-        stop = first + (int(np.argmax(away)) if away.any() else len(away))
-        leaf[first:stop] = first
-        first = stop
-    heads = np.unique(leaf)
-    least = np.minimum.reduceat(ids, heads)
+        heads.append(first)
+        for reach in (64, 4096):
+            ends = (_popcount(bits[first : first + reach] ^ bits[first]) > plan.leaf) | (group[first : first + reach] != group[first])
+            if ends.any():
+                break
+        first += int(np.argmax(ends)) if ends.any() else len(ends)
+    heads = np.array(heads)
     size = np.diff(np.append(heads, n))
-    inside = np.repeat(least, size)
-    if (off := inside != ids).any():
-        yield inside[off], ids[off]
-    if len(heads) < 2:
-        return
-    tops, reach = bits[heads], plan.radius + 2 * plan.leaf
+    tops, owner, reach = bits[heads], group[heads], plan.radius + 2 * plan.leaf
     # nodes: the bits that all leaves of a node share, and their values
     cuts = np.arange(0, len(heads), plan.width)
     ones = np.bitwise_and.reduceat(tops, cuts, axis=0)
     zeros = ~np.bitwise_or.reduceat(tops, cuts, axis=0)
     shared = ones | zeros
+    low, high = owner[cuts], owner[np.append(cuts[1:], len(heads)) - 1]
     for i, at in enumerate(cuts):
-        apart = _popcount((ones[i] ^ ones[i:]) & shared[i] & shared[i:])
-        for j in i + np.flatnonzero(apart <= reach):
-            a, b = slice(at, at + plan.width), slice(cuts[j], cuts[j] + plan.width)
-            gap = _popcount(tops[a][:, None] ^ tops[b][None])
-            x, y = np.nonzero(gap <= reach)
-            x, y, gap = x + at, y + cuts[j], gap[x, y]
-            keep = x < y
-            x, y, gap = x[keep], y[keep], gap[keep]
-            near = gap <= plan.radius
-            if near.any():
-                yield least[x[near]], least[y[near]]
-            # between leaves that are not surely linked by their first members, the members count
-            doubtful = (gap > plan.sure) & (size[x] + size[y] > 2)
-            for p, q in zip(x[doubtful], y[doubtful], strict=True):
-                u, v = slice(heads[p], heads[p] + size[p]), slice(heads[q], heads[q] + size[q])
-                s, t = np.nonzero(_popcount(bits[u][:, None] ^ bits[v][None]) <= plan.radius)
-                yield ids[u][s], ids[v][t]
+        near = _popcount((ones[i] ^ ones[i:]) & shared[i] & shared[i:]) <= reach
+        if apart and low[i] == high[i]:
+            near &= (low[i:] != low[i]) | (high[i:] != low[i])
+        others = i + np.flatnonzero(near)
+        for k in range(0, len(others), 4096):
+            y = (cuts[others[k : k + 4096]][:, None] + np.arange(plan.width)).ravel()
+            y = y[y < len(heads)]
+            x = np.arange(at, min(at + plan.width, len(heads)))
+            keep = (_popcount(tops[x][:, None] ^ tops[y][None]) <= reach) & (x[:, None] <= y)
+            if apart:
+                keep &= owner[x][:, None] != owner[y]
+            p, q = np.nonzero(keep)
+            for u, v in _members(x[p], y[q], heads, size):
+                near_ = (u < v) & (_popcount(bits[u] ^ bits[v]) <= plan.radius)
+                if near_.any():
+                    yield ids[u[near_]], ids[v[near_]]
+
+
+def _small_nodes(begin: np.ndarray, size: np.ndarray, ids: np.ndarray, bits: np.ndarray, plan: IndexPlan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within the radius in many small nodes, those of one size at a time."""
+    for n in np.unique(size):
+        u, v = np.triu_indices(n, 1)
+        of = begin[size == n]
+        step = max(1, (1 << 20) // len(u))
+        for k in range(0, len(of), step):
+            a, b = (of[k : k + step, None] + u).ravel(), (of[k : k + step, None] + v).ravel()
+            near = _popcount(bits[a] ^ bits[b]) <= plan.radius
+            yield ids[a[near]], ids[b[near]]
+
+
+def _near_batches(found: Iterator[tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Pairs, the smaller id first, each once in a batch."""
+    got, n = [], 0
+    for a, b in found:
+        got.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        n += len(a)
+        if n > most:
+            yield np.unique(np.concatenate(got), axis=0)
+            got, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(got), axis=0)
+
+
+FIRST = "a long, b long, node long, hi long, lo long"
 
 
 def _links(plan: IndexPlan):
-    def pairs(node: np.ndarray, ids: np.ndarray, bits: np.ndarray):
-        edge = np.flatnonzero(np.diff(node)) + 1
-        begin = np.concatenate(([0], edge)).astype(np.int64)
-        size = np.diff(np.append(begin, len(node)))
-        two = begin[size == 2]  # most nodes hold two
-        near = _popcount(bits[two] ^ bits[two + 1]) <= plan.radius
-        yield ids[two[near]], ids[two[near] + 1]  # of one leaf or not, a link is a link
-        for at, n in zip(begin[size > 2], size[size > 2], strict=True):
-            yield from search_node(ids[at : at + n], bits[at : at + n], plan)
+    """First round: all pairs of nodes that are not hot, as (a, b). A hot node gives the pairs of Gray-order neighbours and
+    those with its pivots, and its members, as (a, node, hi, lo), for the second round."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+    def pairs_batch(pair: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(pair), pa.int64())
+        return pa.record_batch({"a": pair[:, 0], "b": pair[:, 1], "node": none, "hi": none, "lo": none})
 
-        def out(found) -> Iterator[pa.RecordBatch]:
-            got = [(a, b) for a, b in found if len(a)]
-            if got:
-                a, b = (np.concatenate(x) for x in zip(*got))
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.record_batch({"a": pair[:, 0], "b": pair[:, 1]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots: dict[int, list] = {}  # of the node that is read in chunks
+
+        def first_links(ids: np.ndarray, bits: np.ndarray, held: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            order = _gray_order(ids, bits, np.zeros(len(ids), dtype=np.int64))
+            near = _popcount(bits[order[1:]] ^ bits[order[:-1]]) <= plan.radius
+            yield ids[order[:-1]][near], ids[order[1:]][near]
+            left = np.arange(len(ids))
+            for k in range(plan.pivots):
+                if not len(left):
+                    break
+                if k == len(held):
+                    held.append((ids[left[0]], bits[left[0]].copy()))
+                away = _popcount(bits[left] ^ held[k][1])
+                near = (away <= plan.radius) & (ids[left] != held[k][0])
+                yield np.full(near.sum(), held[k][0]), ids[left[near]]
+                left = left[away > plan.sure]
+
+        def hot(node: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            held = pivots.setdefault(int(node[0]), [])
+            yield pa.record_batch({"a": ids, "b": pa.nulls(len(ids), pa.int64()), "node": node, "hi": bits[:, 0].view(np.int64), "lo": bits[:, 1].view(np.int64)})
+            for pair in _near_batches(first_links(ids, bits, held)):
+                yield pairs_batch(pair)
+
+        def whole_nodes(node: np.ndarray, ids: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.diff(node)) + 1
+            begin = np.concatenate(([0], edge)).astype(np.int64)
+            size = np.diff(np.append(begin, len(node)))
+            large = (size > plan.hot) | np.isin(node[begin], list(pivots))
+            for at, n in zip(begin[large], size[large], strict=True):
+                yield from hot(node[at : at + n], ids[at : at + n], np.ascontiguousarray(bits[at : at + n]))
+            pivots.clear()
+            small = ~large & (size > 1) & (size <= 32)
+
+            def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                yield from _small_nodes(begin[small], size[small], ids, bits, plan)
+                for at, n in zip(begin[~large & (size > 32)], size[~large & (size > 32)], strict=True):
+                    yield from search_node(ids[at : at + n], bits[at : at + n], plan)
+
+            for pair in _near_batches(found()):
+                yield pairs_batch(pair)
 
+        held: tuple | None = None
         for batch in batches:
             node, ids, hi, lo = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "id", "hi", "lo"))
             bits = np.stack([hi, lo], 1).view(np.uint64)
@@ -156,27 +239,43 @@ def _links(plan: IndexPlan):
                 continue
             whole = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
             if whole:
-                yield from out(pairs(node[:whole], ids[:whole], bits[:whole]))
+                yield from whole_nodes(node[:whole], ids[:whole], bits[:whole])
             held = node[whole:], ids[whole:], bits[whole:]
             if len(held[0]) > plan.chunk:
-                # a hot node: what is held is linked, and its leaves go on as their first members
-                yield from out(search_node(held[1], held[2], plan))
-                keep = np.sort(_heads(held[1], held[2], plan))
-                held = held[0][keep], held[1][keep], held[2][keep]
+                yield from hot(*held)
+                held = held[0][:0], held[1][:0], held[2][:0]
         if held is not None and len(held[0]):
-            yield from out(pairs(*held))
+            yield from whole_nodes(*held)
 
     return run
 
 
-def _heads(ids: np.ndarray, bits: np.ndarray, plan: IndexPlan) -> np.ndarray:
-    order = np.lexsort((ids, gray_rank(bits[:, 1]), gray_rank(bits[:, 0])))
-    keep, first = [], -1
-    for k in order:
-        if first < 0 or _popcount(bits[k] ^ bits[first]) > plan.leaf:
-            keep.append(k)
-            first = k
-    return np.array(keep, dtype=np.int64)
+def _links_between(plan: IndexPlan):
+    """Second round: all pairs of different groups in the hot nodes (node, id, hi, lo, group)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def of_node() -> Iterator[pa.RecordBatch]:
+            ids, bits, group = (np.concatenate(x) for x in zip(*(h[1:] for h in held)))
+            for pair in _near_batches(search_node(ids, bits, plan, group)):
+                yield pa.record_batch({"a": pair[:, 0], "b": pair[:, 1]})
+
+        for batch in batches:
+            node, ids, hi, lo, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "id", "hi", "lo", "group"))
+            bits = np.stack([hi, lo], 1).view(np.uint64)
+            edge = np.concatenate(([0], np.flatnonzero(np.diff(node)) + 1, [len(node)])).astype(np.int64)
+            for at, stop in zip(edge[:-1], edge[1:], strict=True):
+                if at == stop:
+                    continue
+                if held and held[0][0] != node[at]:
+                    yield from of_node()
+                    held = []
+                held.append((node[at], ids[at:stop], bits[at:stop], group[at:stop]))
+        if held:
+            yield from of_node()
+
+    return run
 
 
 def _signer(plan: IndexPlan):
@@ -220,18 +319,27 @@ COLUMNS = {"id": "record_id", "title": "title", "abstract": "abstract", "key": "
 def similarity_links(texts: DataFrame, plan: IndexPlan = IndexPlan()) -> DataFrame:
     """(a, b, jaccard): links between different texts (id, words) whose similarity reaches the threshold.
 
-    Of a leaf of almost equal texts each member is linked to its least one. Ties in the Gray order go by id.
+    In a hot node, pairs that are in one group by the links of the first round are not looked at any more.
     """
-    filed = texts.select("id", "words").mapInArrow(_signer(plan), "node long, id long, hi long, lo long")
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = (
-        filed.repartition(parts, "node").sortWithinPartitions("node")
-        .mapInArrow(_links(plan), "a long, b long").distinct()
-    )
     left, right = texts.select(F.col("id").alias("a"), F.col("words").alias("wa")), texts.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     similarity = shared / (F.size("wa") + F.size("wb") - shared)
-    return near.join(left, "a").join(right, "b").select("a", "b", similarity.alias("jaccard")).where(F.col("jaccard") >= plan.threshold)
+
+    def checked(near: DataFrame) -> DataFrame:
+        return near.distinct().join(left, "a").join(right, "b").select("a", "b", similarity.alias("jaccard")).where(F.col("jaccard") >= plan.threshold)
+
+    filed = texts.select("id", "words").mapInArrow(_signer(plan), "node long, id long, hi long, lo long")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = stored(filed.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_links(plan), FIRST), "near")
+    links = checked(first.where("b is not null").select("a", "b"))
+    hot = first.where("b is null").select("node", F.col("a").alias("id"), "hi", "lo")
+    if not hot.take(1):
+        return links
+    links = stored(links, "first-links")
+    group = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    grouped = hot.join(group, "id", "left").select("node", "id", "hi", "lo", F.coalesce("group", "id").alias("group"))
+    between = grouped.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(_links_between(plan), "a long, b long")
+    return links.unionAll(checked(between))
 
 
 def duplicate_groups(df: DataFrame, plan: IndexPlan = IndexPlan(), columns: dict[str, str] | None = None) -> DataFrame:
@@ -240,7 +348,7 @@ def duplicate_groups(df: DataFrame, plan: IndexPlan = IndexPlan(), columns: dict
     Records belong together if their keys are equal and not blank, or if both have a usable abstract
     of ``least_chars`` or more and the words of title and abstract, each once, agree in ``threshold`` or more (shared
     words by words in either); groups are closed. ``n_links`` counts the links between different texts that the index
-    found for the record's text (copies share it) and is 0 for records without. Nulls: a record without
+    found for the record's text (copies share it; in a hot node those that its group needs) and is 0 for records without. Nulls: a record without
     key and without fit abstract is its own group; a null title counts as no words. Rows that repeat a record_id are one record.
     """
     texts = stored(_texts(df, plan, columns or COLUMNS), "texts")

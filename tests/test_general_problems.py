@@ -207,3 +207,30 @@ def test_a_hot_group_of_edited_variants_is_one_group(spark):
     rows += [(i, None, " ".join(rng.sample(vocabulary, 100)), None, "u", 1, "s", "x", "") for i in range(200, 600)]
     got = {r.record_id: r.group_id for r in duplicate_groups(spark.createDataFrame(rows, RECORD)).collect()}
     assert got == {i: 0 if i < 200 else i for i in range(600)}
+
+
+def test_node_search_gives_every_pair_itself_and_leaves_groups_out():
+    rng = np.random.default_rng(8)
+    plan = IndexPlan(radius=10, leaf=2, sure=4, width=4)
+    bits = np.repeat(rng.integers(0, 2**63, (6, 2), dtype=np.uint64), 12, axis=0)
+    for row in bits:
+        for _ in range(rng.integers(0, 7)):
+            row[rng.integers(0, 2)] ^= np.uint64(1) << np.uint64(rng.integers(0, 63))
+    ids = rng.permutation(len(bits)) + 50
+    near = {(min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(zip(ids.tolist(), bits), 2) if np.bitwise_count(x ^ y).sum() <= plan.radius}
+    for group in (None, ids % 3):
+        got = {(min(p), max(p)) for a, b in search_node(ids, bits, plan, group) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        assert got == {p for p in near if group is None or p[0] % 3 != p[1] % 3}
+
+
+def test_hot_nodes_read_in_chunks_lose_no_group(spark):
+    rng = random.Random(6)
+    vocabulary = [f"term{i}" for i in range(900)]
+    base, rows = rng.sample(vocabulary, 100), []
+    for i in range(120):
+        text = list(base)
+        for k in rng.sample(range(100), rng.choice([2, 8, 14, 20])):
+            text[k] = rng.choice(vocabulary)
+        rows.append((i, None, " ".join(text), None, "u", 1, "s", "x", ""))
+    groups = duplicate_groups(spark.createDataFrame(rows, RECORD), IndexPlan(hot=5, chunk=10, pivots=2))
+    assert {tuple(r) for r in group_pairs(groups).collect()} == brute_pairs(rows)
