@@ -154,20 +154,23 @@ def similar_titles(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     return found
 
 
-def greedy_survivors(nodes: DataFrame, pairs: DataFrame, most_rounds: int = 100) -> DataFrame:
+def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ord, first, keep): sequential first-come deduplication as a fixpoint; not a transitive closure.
 
     ``nodes`` (ord, fixed): ``fixed`` rows are kept whatever they resemble. ``pairs`` (a, b), a before b. A row is
     dropped once a kept earlier row resembles it and kept once all its earlier neighbours are dropped. Only rows with
-    a neighbour take part in the rounds; each is cut with checkpoint().
+    a neighbour take part in the rounds; each is cut with checkpoint(). The rounds go on until no row is undecided: every
+    one decides at least the first undecided row, so they end.
     """
     near = stored(pairs.select("a", "b"), "near")
     state = nodes.join(near.select(F.col("b").alias("ord")).distinct(), "ord", "left_semi").select("ord", F.when(F.col("fixed"), F.lit(True)).alias("keep"))
     others = nodes.join(near.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").select("ord", F.lit(True).alias("keep"))
     state = cut(state)
-    for _ in range(most_rounds):
-        if state.where("keep is null").limit(1).count() == 0:
-            break
+    undecided = None
+    while (left := state.where("keep is null").count()) > 0:
+        if left == undecided:
+            raise RuntimeError("greedy_survivors did not settle: pairs must go from an earlier row of nodes to a later one")
+        undecided = left
         all_ = state.unionAll(others)
         known = near.join(all_.select(F.col("ord").alias("a"), F.col("keep").alias("ka")), "a")
         votes = known.groupBy(F.col("b").alias("ord")).agg(F.max(F.coalesce("ka", F.lit(False)).cast("int")).alias("hit"), F.sum(F.col("ka").isNull().cast("int")).alias("open"))

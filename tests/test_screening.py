@@ -177,3 +177,10 @@ def test_camel_case_and_citation_echo(spark):
     assert col(spark, ["CodeBERTModel", "HTTPServer2Go", "plain", None], "string", C.camel_split) == [["code", "bert", "model"], ["http", "server2", "go"], ["plain"], []]
     got = col(spark, ["As Smith (2020) found, Smith (2020) agrees.", "Smith (2020). Smith (2020).", None], "string", C.without_citation_echo)
     assert got == ["As Smith (2020) found agrees.", "Smith (2020). Smith (2020).", ""]
+
+
+def test_greedy_survivors_decide_long_chains(spark):
+    n = 106
+    nodes = spark.createDataFrame([(i, False) for i in range(n)], "ord long, fixed boolean")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert {r.ord: r.keep for r in S.greedy_survivors(nodes, pairs).collect()} == {i: i % 2 == 0 for i in range(n)}
