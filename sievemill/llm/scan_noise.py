@@ -1,6 +1,7 @@
 """Problem 4: noise of scanned pages, and its repair into continuous paragraphs.
 
-Running headers, page numbers and words divided at a line's end are found by their shape; whether a divided word is one
+Page numbers and words divided at a line's end are found by their shape, running headers by their shape and by being
+repeated as lines of their own in other texts of the same paper; whether a divided word is one
 word or a compound with its own hyphen is for the corpus lexicon to say. Misread words come out of a symmetric-delete
 index: the lexicon's words and all words of the corpus are filed under what is left after up to two deletions,
 words that share a key are candidates, and a weighted edit distance keeps those that differ by known confusions
@@ -32,62 +33,85 @@ CONFUSIONS = (
 
 @dataclass(frozen=True)
 class ScanPlan:
-    common: int = 6  # uses of a word that corrects others
-    standing: int = 20  # uses of each part, from which an unknown pair of words is a compound
+    common: int = 6  # uses that are evidence enough of a word; how much more frequent it must be than what it corrects, the ratios say
+    standing: float = 30e-6  # share of each part in all words, from which an unknown pair of words is a compound
     ratio: float = 12.0  # how much more frequent a correction is
     ratio_odd: float = 3.0  # the same where a digit or sign stands among letters
     cost: float = 0.25  # of one confusion; any other edit costs 1
     most_cost: float = 0.8
     least_length: int = 3
-    most_length: int = 30
     misread: int = 3  # words, from which a text counts as misread
 
 
 CAP = r"[A-ZÀ-Þ@0-9][\w@ſ|<]*"
-# journals with volume and number, or volume and year: told by how they end, which is rare, then by what stands before
+# A pattern that starts with a rare sign is looked for first; what stands before it decides.
 JOURNALS = tuple(
     (re.compile(tail, re.I if fold else 0), re.compile(head, re.I if fold else 0))
     for tail, head, fold in (
+        # a title of the form "x of y" with volume and number, or volume and year
         (r",? V[o0]?[l1I]?\. ?[\dlOoSI]+(?:, N[o0]\. ?[\dlOoSI]+)?", rf"(?:{CAP} ){{0,2}}{CAP} (?:of|de|del|di|da|do|du|des|für|f[uü]r) (?:(?:the|la|las|los|el) )?(?:[\w@ſ]+ ){{0,3}}[\w@ſ]+$", True),
         (r"[\dlOoSI]{1,4} \([\dlOoSIg]{4}\)", rf"(?:{CAP} ){{0,2}}{CAP} (?:of|de|del|di|da|do|du|des|für) (?:[A-ZÀ-Þ][\w@ſ]* ){{1,4}}$", False),
     )
 )
-HEADERS = (
-    # letters set apart
-    re.compile(r"(?:(?<![^\s])[A-ZÀ-Þ@0-9](?: {1,3}|$)){5,}(?![^\s])|(?:(?<![^\s])[A-ZÀ-Þ@] {1,3}){5,}[A-ZÀ-Þ@](?![^\s])"),
-    # authors, perhaps with the title
-    re.compile(r"[A-ZÀ-Þ][\w@ſß-ÿ’'-]* (?:et a[l1I]|e[tf] a[l1I]|ET A[LI1])\.(?:,? ?[|:–—-] [^\n]{3,90}?(?=\n|$| (?:[–—-] ?\d|\[?\d{1,4}\]?(?: |$)|p\. ?\d|P[áa]g)))?"),
-    re.compile(r"(?:(?<=\n)|(?<=[.!?\d\]–—-] )|^)[A-ZÀ-Þ][\w@ſ]+ (?:and|y|e|et|und) [A-ZÀ-Þ][\w@ſ]+: [A-ZÀ-Þ][^\n.]{5,90}?(?=\n|$|\. )"),
-    re.compile(r"(?<=[a-zß-ÿ,] )[A-ZÀ-Þ][\w@ſ]{2,} (?:and|y|et|und) [A-ZÀ-Þ][\w@ſ]{2,}: [A-ZÀ-Þ][\w@ſ ]{5,60}"),
-    # working papers and series
-    re.compile(r"\bW[o0]r(?:k|l<)[il1]n[g9] [pP]ap[ec]r [–—-] [\w@ſ]+ s[ec]r[il1][ec][s5]", re.I),
-)
+SPACED_GATE = re.compile(r"[A-ZÀ-Þ@0-9] {1,3}[A-ZÀ-Þ@0-9] {1,3}[A-ZÀ-Þ@0-9] {1,3}[A-ZÀ-Þ@0-9]")
+SPACED = re.compile(r"(?:(?<![^\s])[A-ZÀ-Þ@0-9](?: {1,3}|$)){5,}(?![^\s])|(?:(?<![^\s])[A-ZÀ-Þ@] {1,3}){5,}[A-ZÀ-Þ@](?![^\s])")
+# authors, perhaps with the title
+ET_AL = re.compile(r"(?:e[tf] a[l1I]|ET A[LI1])\.")
+NAME_BEFORE = re.compile(r"[A-ZÀ-Þ][\w@ſß-ÿ’'-]* $")
+TITLE_AFTER = re.compile(r",? ?[|:–—-] [^\n]{3,90}?(?=\n|$| (?:[–—-] ?\d|\[?\d{1,4}\]?(?: |$)|p\. ?\d|P[áa]g))")
+PAIR = re.compile(r" (?:and|y|e|et|und) [A-ZÀ-Þ][\w@ſ]+: (?=[A-ZÀ-Þ])")
+PAIR_BEFORE = re.compile(r"(?:(?<=\n)|(?<=[.!?\d\]–—-] )|\A|(?<=[a-zß-ÿ,] ))[A-ZÀ-Þ][\w@ſ]+$")
+PAIR_TITLE, PAIR_INLINE = re.compile(r"[^\n.]{6,91}?(?=\n|$|\. )"), re.compile(r"[\w@ſ ]{6,61}")
+# two short runs that begin with capitals, joined by a dash, on a line of their own or where a sentence reads on around them
+SERIES = re.compile(r" [–—] (?=[A-ZÀ-Þ0-9@])")
+SERIES_BEFORE = re.compile(r"(?:\A|(?<=\n)|(?<=[a-zß-ÿ,.\d\]–—-] ))[A-ZÀ-Þ][\w@ſ|<]+(?: [a-zß-ÿ\d@ſ|<][\w@ſ|<]*){0,2}$")
+PAGE_NEXT = re.compile(r"\s*(?:\n|$)|\s+(?:[–—\[|-] ?)?\d{1,4}(?=\s|\]|$| ?[–—-])|\s+[^\W\d_]{1,6}\. ?\d|\s+[Pp]age \d")
+SERIES_AFTER = re.compile(r"[\w@ſ|<]+(?: [a-zß-ÿ@ſ\d]+)?(?=\n|$| )")
 PAGES = (
-    re.compile(r"(?<![\w.])(?:[Pp]|[Pp][áaà@][g9]|[Pp][áa]gina|[Ss]|[Ss]eite|pp)\. ?[\dlOoSI]{1,4}(?![\w%]|[.,]\d)"),
-    re.compile(r"\b[Pp]a[g9][eae] [\dlOoSI]{1,4} (?:of|de|von|di|sur) [\dlOoSI]{1,4}\b|(?:^|\n)\s*(?:[Pp]age|[Pp]ágina|[Ss]eite|[Pp]agina) \d{1,4}\s*(?=\n|$)"),
-    re.compile(r"(?:(?<=\s)|^)[–—-] ?[\dlOoSI]{1,4} ?[–—-](?=\s|$)"),
-    re.compile(r"(?:(?<=\s)|^)\[[\dlOoSI]{1,4}\](?=\s|$)"),
-    re.compile(r"(?:(?<=\s)|^)\d{1,4} \| \d{1,4}(?=\s|$)"),
+    re.compile(r"(?:[Pp]|[Pp][áaà@][g9]|[Pp][áa]gina|[Ss]|[Ss]eite|pp)\. ?[\dlOoSI]{1,4}(?![\w%]|[.,]\d)"),
+    re.compile(r"[Pp]a[g9][eae] [\dlOoSI]{1,4} (?:of|de|von|di|sur) [\dlOoSI]{1,4}\b"),
+    re.compile(r"(?:\A|\n)\s*(?:[Pp]age|[Pp]ágina|[Ss]eite|[Pp]agina) \d{1,4}\s*(?=\n|$)"),
+)
+# these stand between blanks
+PAGES_APART = (
+    re.compile(r"[–—-] ?[\dlOoSI]{1,4} ?[–—-](?=\s|$)"),
+    re.compile(r"\[[\dlOoSI]{1,4}\](?=\s|$)"),
+    re.compile(r"\d{1,4} \| \d{1,4}(?=\s|$)"),
 )
+CAPS_GATE = re.compile(r"[A-ZÀ-Þ]{3}")
 CAPS_LINE = re.compile(r"(?:(?<=\n)|^)[ \t]*(?=[^\na-zß-ÿ]*[A-ZÀ-Þ]{3})[^\na-zß-ÿ]{18,}?(?=\n|$)")
 CAPS_RUN = re.compile(r"(?<=[a-zß-ÿ.,;:] )(?:[A-ZÀ-Þ@]{1,}[A-ZÀ-Þ@’'-]* ){4,}[A-ZÀ-Þ]{2,}(?= |$)")
-LONE = re.compile(r"(?:(?<=\n)|^)[ \t]*\d{1,4}[ \t]*(?=\r?\n|$)")
+LONE = re.compile(r"(?:\A|\n)([ \t]*\d{1,4}[ \t]*)(?=\r?\n|\Z)")
+SEE = re.compile(r"(?i)\bsee\s*$")
 MARK = re.compile(r"(?<=[^\W\d_])[-¬\xad‐](?:[ \t]*\r?\n[ \t]*| +)(?=[^\W\d_])")
-WORD_END, WORD_START = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
+WORD_END, WORD_START = re.compile(r"[^\W_]+\Z"), re.compile(r"[^\W_]+")
 SOFT = re.compile("[¬\xad]")
 TOKEN = re.compile(r"[^\W_]+(?:[@|!¡$€<][^\W_]+)*|@[^\W_]+(?:@[^\W_]*)*")
 COMPOUND = re.compile(r"(?<![^\W_])[^\W\d_]++(?:-[^\W\d_]++)+")
 # Words after a hyphen that stays open
 CONJUNCTIONS = {"and", "or", "to", "y", "o", "u", "e", "ou", "et", "und", "oder", "bis", "bzw", "sowie", "ed", "a", "als", "versus", "vs", "but", "mid"}
+#: characters that scanning confuses, as one
+ALIKE = str.maketrans({"c": "e", "3": "e", "@": "a", "i": "l", "1": "l", "|": "l", "!": "l", "ı": "l", "t": "f", "ſ": "f", "0": "o", "5": "s", "6": "b", "8": "b", "h": "b", "9": "g", "q": "g", "2": "z", "u": "n", "v": "y"})
+PAGE_EDGE = re.compile(r"^(?:[^\W\d_]{0,6}\.? ?[–—\[|-]? ?\d{1,4} ?[\]|–—-]? ?)|(?: ?[–—\[|-]? ?\d{1,4} ?[\]|–—-]?)$")
+
+
+def back(text: str, at: int, pattern: re.Pattern, reach: int = 64) -> re.Match | None:
+    """The match of a pattern that ends at a place; the piece looked at grows until the match no longer touches its start."""
+    while True:
+        begin = max(0, at - reach)
+        m = pattern.search(text, begin, at)
+        if begin == 0 or m and m.start() > begin + 1 or not m and not text[begin:at].isalnum():
+            return m
+        reach *= 4
 
 
 def divisions(text: str) -> list[tuple[int, int, str, str, str, str]]:
     """Hyphens before a line's end or a blank, as (start, end, left word, mark, gap, right word), without overlaps."""
     out, done = [], 0
     for m in MARK.finditer(text):
-        left = WORD_END.search(text, max(done, m.start() - 60), m.start())
+        left = back(text, m.start(), WORD_END)
         right = WORD_START.match(text, m.end())
-        if left:
+        if left and left.start() >= done:
             out.append((left.start(), right.end(), left.group(), m.group()[0], m.group()[1:], right.group()))
             done = right.end()
     return out
@@ -101,24 +125,51 @@ def _replace(text: str, spots, put) -> str:
     return "".join(out) + text[at:]
 
 
-def _journals(text: str) -> list[tuple[int, int]]:
+def _heads(text: str) -> list[tuple[int, int]]:
+    """Running headers by their shape."""
     out = []
     for tail, head in JOURNALS:
         for m in tail.finditer(text):
-            if h := head.search(text, max(0, m.start() - 110), m.start()):
+            if h := back(text, m.start(), head, 128):
                 out.append((h.start(), m.end()))
+    if SPACED_GATE.search(text):
+        out += [m.span() for m in SPACED.finditer(text)]
+    for m in ET_AL.finditer(text):
+        if name := back(text, m.start(), NAME_BEFORE):
+            title = TITLE_AFTER.match(text, m.end())
+            out.append((name.start(), title.end() if title else m.end()))
+    for m in PAIR.finditer(text):
+        if name := back(text, m.start(), PAIR_BEFORE):
+            inline = name.start() > 1 and (text[name.start() - 2].islower() or text[name.start() - 2] == ",") and text[name.start() - 1] == " "
+            if title := (PAIR_INLINE if inline else PAIR_TITLE).match(text, m.end()):
+                out.append((name.start(), title.end()))
+    for m in SERIES.finditer(text):
+        if (first := back(text, m.start(), SERIES_BEFORE)) and (last := SERIES_AFTER.match(text, m.end())):
+            a, b = first.start(), last.end()
+            stopped = a > 1 and text[a - 2] == "."
+            if " " in first.group() + text[last.start() : b] and (not stopped and text[a - 1 : a] != "\n" or PAGE_NEXT.match(text, b)):
+                out.append((a, b))
+    if CAPS_GATE.search(text) and sum(map(str.islower, text)) > 0.5 * sum(map(str.isalpha, text)):
+        out += [m.span() for p in (CAPS_LINE, CAPS_RUN) for m in p.finditer(text)]
     return out
 
 
-def _find(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans of running headers and of printed page numbers."""
-    lower, letters = sum(map(str.islower, text)), sum(map(str.isalpha, text)) or 1
-    heads = _journals(text) + [m.span() for p in HEADERS for m in p.finditer(text)]
-    if lower > 0.5 * letters:
-        heads += [m.span() for p in (CAPS_LINE, CAPS_RUN) for m in p.finditer(text)]
-    pages = [m.span() for p in PAGES for m in p.finditer(text) if not re.search(r"(?i)\bsee\s*$", text[max(0, m.start() - 5) : m.start()])]
-    lines_num = [m.span() for m in LONE.finditer(text)]
-    for a, b in lines_num:
+def _find(text: str, more: list[tuple[int, int]] = ()) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of running headers, those told by repetition (``more``) included, and of printed page numbers."""
+    heads = _heads(text) + list(more)
+    pages = []
+    for p in PAGES:
+        for m in p.finditer(text):
+            a = m.start()
+            if (not a or not (text[a - 1].isalnum() or text[a - 1] in "._")) and not SEE.search(text, max(0, a - 8), a):
+                pages.append(m.span())
+    for p in PAGES_APART:
+        for m in p.finditer(text):
+            a = m.start()
+            if (not a or text[a - 1].isspace()) and not SEE.search(text, max(0, a - 8), a):
+                pages.append(m.span())
+    for m in LONE.finditer(text):
+        a, b = m.span(1)
         before = text[:a].rstrip("\n\r \t").rpartition("\n")[2]
         after = text[b:].lstrip("\r\n \t").partition("\n")[0]
         figures = re.fullmatch(r"[\s\d.,%|–-]*", before) or re.search(r"[:=]\s*[\d.,%]*\s*$", before) or re.fullmatch(r"[\d.,%\s–-]+", after.strip())
@@ -129,13 +180,35 @@ def _find(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         elif any(h[1] <= a and not text[h[1] : a].strip() or b <= h[0] and not text[b : h[0]].strip() for h in heads):
             pages.append((a, b))
     for h in heads:  # a bare number beside a header
-        if m := re.match(r"\s*,? ?(\d{1,4})(?=\s|$)", text[h[1] :]):
+        if m := re.match(r"\s*,? ?(\d{1,4})(?=\s|$)", text[h[1] : h[1] + 20]):
             at = h[1] + m.start(1)
-            if not any(x < at + 1 and at < y for x, y in heads + pages) and re.match(r"[ \t]", text[h[1] : h[1] + 1] or "x") and not re.match(r"\s+[a-zß-ÿ%]", text[h[1] + m.end() :]):
+            if not any(x < at + 1 and at < y for x, y in heads + pages) and re.match(r"[ \t]", text[h[1] : h[1] + 1] or "x") and not re.match(r"\s+[a-zß-ÿ%]", text[h[1] + m.end() : h[1] + m.end() + 20]):
                 pages.append((at, h[1] + m.end(1)))
     return _merge(heads), _merge(pages)
 
 
+def own_lines(text: str) -> list[dict]:
+    """Lines that may be running headers if the paper repeats them: (h, before, start, end).
+
+    ``h`` is a hash of the line without page numbers, with characters that scanning confuses taken as one; ``before`` one of
+    the line before. A line counts from three words on, if it begins with a capital or figure and ends without a stop.
+    """
+    if "\n" not in text:
+        return []
+    out, at, before = [], 0, 0
+    for line in text.split("\n"):
+        body = line.strip()
+        if body and len(body) <= 120 and (body[0].isupper() or body[0].isdigit() or body[0] == "@") and body[-1] not in ".!?:;,-¬\xad‐":
+            words = TOKEN.findall(PAGE_EDGE.sub("", PAGE_EDGE.sub("", body)).lower())
+            if len(words) >= 3 and any(w[0].isalpha() for w in words):
+                flat = "".join(words).translate(ALIKE).replace("rn", "m")
+                out.append({"h": zlib.crc32(flat.encode()) << 16 ^ len(flat), "before": before, "start": at, "end": at + len(line)})
+        if body:
+            before = zlib.crc32(body.encode())
+        at += len(line) + 1
+    return out
+
+
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -162,7 +235,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        heads, pages, hyphens, words, joined, bigrams = [], [], [], [], [], []
+        heads, pages, hyphens, words, joined, bigrams, lines = [], [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             h, p = _find(text)
             heads.append(len(h))
@@ -175,23 +248,31 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if right.lower() not in CONJUNCTIONS or soft:
                     marks.append({"left": left.lower(), "right": right.lower(), "soft": soft, "line": "\n" in gap})
             hyphens.append(marks)
-            joined.append([m["left"] + m["right"] for m in marks if len(m["left"]) + len(m["right"]) <= 40])
+            joined.append([m["left"] + m["right"] for m in marks])
             flat = _replace(body, spots, lambda _: " ").lower()
             found = TOKEN.findall(flat)
             # a text may start and stop within a word
             tail = body.rstrip()[-1:]
             inner = found[1 if body[:1].islower() else 0 : -1 if tail.isalnum() else None]
-            words.append([w for w in inner if len(w) <= 40] + COMPOUND.findall(flat))
+            words.append(inner + (COMPOUND.findall(flat) if "-" in flat else []))
             bigrams.append(inner)
+            lines.append(own_lines(text))
         kind = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("soft", pa.bool_()), ("line", pa.bool_())]))
+        spots_kind = pa.list_(pa.struct([("h", pa.int64()), ("before", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(heads, pa.int32()), pa.array(pages, pa.int32()), pa.array(hyphens, kind), pa.array(words, pa.list_(pa.string())), pa.array(joined, pa.list_(pa.string())), pa.array(bigrams, pa.list_(pa.string()))],
-            names=["key", "heads", "pages", "hyphens", "words", "joined", "running"],
+            [batch.column("key"), pa.array(heads, pa.int32()), pa.array(pages, pa.int32()), pa.array(hyphens, kind), pa.array(words, pa.list_(pa.string())), pa.array(joined, pa.list_(pa.string())), pa.array(bigrams, pa.list_(pa.string())), pa.array(lines, spots_kind)],
+            names=["key", "heads", "pages", "hyphens", "words", "joined", "running", "lines"],
         )
 
 
-def deletes(word: str, most: int = 2) -> set[str]:
-    level, out = {word}, {word}
+def deletes(word: str, most: int = 2, prefix: int = 10) -> set[str]:
+    """What is left of a word's beginning after up to ``most`` deletions.
+
+    Words within ``most`` edits share one of these whatever their length, as long as the beginning is longer than the edits:
+    what an edit shifts out of it costs one deletion on the other side.
+    """
+    level = {word[:prefix]}
+    out = set(level)
     for _ in range(most):
         level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w))}
         out |= level
@@ -217,8 +298,16 @@ for _a, _b in CONFUSIONS:
 
 def weighted_distance(seen: str, meant: str, cost: float, most: float) -> float:
     """Edit distance in which a known confusion costs ``cost`` and any other edit 1; cut off above ``most``."""
+    # what both begin and end with is left out but for two characters, as a confusion may reach into it
+    short = min(len(seen), len(meant))
+    a = next((i for i in range(short) if seen[i] != meant[i]), short)
+    z = next((i for i in range(short - a) if seen[-1 - i] != meant[-1 - i]), short - a)
+    a, z = max(0, a - 2), max(0, z - 2)
+    seen, meant = seen[a : len(seen) - z], meant[a : len(meant) - z]
     n, m = len(seen), len(meant)
     far = most + 1
+    if n > m + 6 or m > n + 6 or n > 40:  # beyond what few confusions can do
+        return far
     table = [[far] * (m + 1) for _ in range(n + 1)]
     table[0][0] = 0.0
     for i in range(n + 1):
@@ -255,15 +344,17 @@ def _judge(plan: ScanPlan):
 
 def candidates(lexicon: DataFrame, plan: ScanPlan) -> DataFrame:
     """(w, n, meant, uses, cost): corrections of words by more frequent ones, from the symmetric-delete index."""
-    fit = lexicon.where(F.length("w").between(plan.least_length, plan.most_length) & ~F.col("w").contains("-"))
+    fit = lexicon.where((F.length("w") >= plan.least_length) & ~F.col("w").contains("-"))
     odd = F.col("w").rlike(r"\p{L}[0-9@|!¡$€<]|[0-9@|!¡$€<]\p{L}")
     # a word that is as frequent as any correction could be allowed to be is none; digits alone are no words
     asked = fit.where(F.col("w").rlike(r"\p{L}"))
     known = fit.where((F.col("n") >= plan.common) & F.col("w").rlike(r"^\p{L}+$"))
     file = lambda df: df.select("w", "n").mapInArrow(_delete_keys, "k long, w string, n long")
-    right = file(known).select("k", F.col("w").alias("meant"), F.col("n").alias("uses"))
+    # the planner takes the keys for as small as the lexicon's file, so the join is told not to broadcast them
+    right = file(known).select("k", F.col("w").alias("meant"), F.col("n").alias("uses")).hint("merge")
     ratio = F.when(odd, F.lit(plan.ratio_odd)).otherwise(F.lit(plan.ratio))
-    pairs = file(asked).join(right, "k").where((F.col("w") != F.col("meant")) & (F.col("uses") >= F.col("n") * ratio)).select("w", "n", "meant", "uses").distinct()
+    met = file(asked).join(right, "k").where((F.col("w") != F.col("meant")) & (F.col("uses") >= F.col("n") * ratio) & (F.abs(F.length("w") - F.length("meant")) <= 6))
+    pairs = met.select("w", "n", "meant", "uses").distinct()
     return pairs.mapInArrow(_judge(plan), "w string, n long, meant string, uses long, cost double")
 
 
@@ -271,70 +362,91 @@ def candidates(lexicon: DataFrame, plan: ScanPlan) -> DataFrame:
 class Scans:
     texts: DataFrame  # key, text
     parsed: DataFrame
+    repeated: DataFrame  # key, spans: lines that other texts of the paper repeat
     divided: DataFrame  # key, left, right, kept: whether the hyphen stays
     fixes: DataFrame  # key, w, meant, times
 
 
-def _prepare(df: DataFrame, id_col: str, text_col: str, plan: ScanPlan) -> Scans:
+def _repeated(df: DataFrame, parsed: DataFrame, text_col: str, paper_col: str | None) -> DataFrame:
+    """(key, spans) of lines that stand in two or more different texts of one paper after different lines.
+
+    Least and greatest key and preceding line are all that is kept of a line, so that a paper of any size is no burden.
+    """
+    if paper_col is None or paper_col not in df.columns:
+        return parsed.where("false").select("key", "lines").withColumn("spans", F.expr("cast(null as array<struct<start:int,end:int>>)")).select("key", "spans")
+    lines = parsed.where("size(lines) > 0").select("key", F.explode("lines").alias("l")).select("key", "l.*")
+    papers = df.where(F.col(text_col).isNotNull() & F.col(paper_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(paper_col).alias("paper")).distinct()
+    held = papers.join(lines.hint("merge"), "key")
+    of = held.groupBy("paper", "h").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("before").alias("b0"), F.max("before").alias("b1"))
+    twice = of.where("k0 != k1 and b0 != b1").select("paper", "h")
+    return held.join(twice.hint("merge"), ["paper", "h"]).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def _prepare(df: DataFrame, text_col: str, paper_col: str | None, plan: ScanPlan) -> Scans:
     texts = df.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     texts = texts.groupBy("key").agg(F.first("text").alias("text"))
-    schema = "key long, heads int, pages int, hyphens array<struct<left:string,right:string,soft:boolean,line:boolean>>, words array<string>, joined array<string>, running array<string>"
+    schema = (
+        "key long, heads int, pages int, hyphens array<struct<left:string,right:string,soft:boolean,line:boolean>>, words array<string>, joined array<string>, "
+        "running array<string>, lines array<struct<h:long,before:long,start:int,end:int>>"
+    )
     parsed = stored(texts.mapInArrow(_parse, schema), "scans")
     # the joined forms of divided words may be misread, but are no witnesses of a word
     one_each = parsed.select("key", F.explode("words").alias("w"), F.lit(1).alias("own")).unionAll(parsed.select("key", F.explode("joined").alias("w"), F.lit(0).alias("own")))
-    per_text = stored(one_each.groupBy("key", "w").agg(F.count(F.lit(1)).alias("times"), F.sum("own").alias("own")), "words")
-    lexicon = stored(per_text.groupBy("w").agg(F.sum("own").alias("n")), "lexicon")
-    # divided words: one word, unless the lexicon knows the compound better
-    marks = parsed.select("key", F.explode("hyphens").alias("h")).select("key", "h.*")
+    # counted within each text first, in its own row; then over all texts
+    per_text = one_each.groupBy("key", "w").agg(F.count(F.lit(1)).alias("times"), F.sum("own").alias("own"))
+    lexicon = stored(one_each.groupBy("w").agg(F.sum("own").alias("n")), "lexicon")
+    total = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # divided words: one word, unless the lexicon knows the compound better. No join here may broadcast: files are smaller than rows
+    marks = parsed.where("size(hyphens) > 0").select("key", F.explode("hyphens").alias("h")).select("key", "h.*")
     joined, hyphened = F.concat("left", "right"), F.concat_ws("-", "left", "right")
-    one = lexicon.select(F.col("w").alias("_j"), F.col("n").alias("as_one"))
-    two = lexicon.select(F.col("w").alias("_c"), F.col("n").alias("as_compound"))
-    left = lexicon.select(F.col("w").alias("left"), F.col("n").alias("n_left"))
-    right = lexicon.select(F.col("w").alias("right"), F.col("n").alias("n_right"))
-    forms = marks.select("left", "right").distinct().withColumn("_j", joined).withColumn("_c", hyphened)
-    forms = forms.join(one, "_j", "left").join(two, "_c", "left").join(left, "left", "left").join(right, "right", "left")
-    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("as_one", "as_compound", "n_left", "n_right")}
+    forms = marks.select("left", "right").distinct()
+    asked = forms.select("left", "right", F.explode(F.array(*(F.struct(F.lit(role).alias("role"), w.alias("w")) for role, w in ((0, joined), (1, hyphened), (2, F.col("left")), (3, F.col("right"))))) ).alias("q")).select("left", "right", "q.*")
+    known = asked.join(lexicon.hint("merge"), "w", "left").groupBy("left", "right").agg(*(F.coalesce(F.max(F.when(F.col("role") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in enumerate(("as_one", "as_compound", "n_left", "n_right"))))
     # without a word or a compound to go by: two words of their own are a compound
-    kept = F.when(n["as_one"] + n["as_compound"] > 0, n["as_compound"] >= n["as_one"]).otherwise(F.least(n["n_left"], n["n_right"]) >= plan.standing)
-    divided = marks.join(forms.select("left", "right", kept.alias("kept")), ["left", "right"]).withColumn("kept", F.col("kept") & ~F.col("soft"))
+    kept = F.when(F.col("as_one") + F.col("as_compound") > 0, F.col("as_compound") >= F.col("as_one")).otherwise(F.least("n_left", "n_right") >= max(2.0, plan.standing * total))
+    divided = marks.join(known.select("left", "right", kept.alias("kept")).hint("merge"), ["left", "right"]).withColumn("kept", F.col("kept") & ~F.col("soft"))
     # misread words, the best correction by cost, bigrams and frequency
     found = stored(candidates(lexicon, plan), "candidates")
     best = found.withColumn("least", F.min("cost").over(Window.partitionBy("w"))).where("cost <= least + 1e-9").drop("least")
     counted = best.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("w")))
     clear = counted.where("k = 1").select("w", "meant")
-    unclear = counted.where("k > 1").select("w", "meant", "uses")
-    fixes = per_text.join(clear, "w").select("key", "w", "meant", "times")
+    unclear = stored(counted.where("k > 1").select("w", "meant", "uses"), "unclear")
+    fixes = per_text.join(clear.hint("merge"), "w").select("key", "w", "meant", "times")
     doubtful = _by_context(parsed, unclear)
-    return Scans(texts, parsed, divided, fixes.unionByName(doubtful))
+    return Scans(texts, parsed, _repeated(df, parsed, text_col, paper_col), divided, fixes.unionByName(doubtful))
 
 
 def _by_context(parsed: DataFrame, unclear: DataFrame) -> DataFrame:
     """Corrections of words with several candidates: the one that follows the word before it most often, then the most used."""
-    pairs = parsed.select("key", F.explode(F.arrays_zip(F.slice("running", 1, F.greatest(F.size("running") - 1, F.lit(0))).alias("a"), F.slice("running", 2, F.greatest(F.size("running"), F.lit(1))).alias("b"))).alias("p")).select("key", "p.a", "p.b")
-    seen = pairs.join(unclear.select(F.col("w").alias("b")).distinct(), "b").select("key", "a", "b")
-    asked = seen.select("a", "b").distinct().join(unclear.withColumnRenamed("w", "b"), "b")
-    counts = pairs.join(asked.select("a", F.col("meant").alias("b")).distinct(), ["a", "b"]).groupBy("a", F.col("b").alias("meant")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = asked.join(counts, ["a", "meant"], "left").groupBy("a", "b").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "uses", "meant")).alias("top"))
-    return seen.join(ranked, ["a", "b"]).groupBy("key", F.col("b").alias("w"), F.col("top.meant").alias("meant")).agg(F.count(F.lit(1)).alias("times"))
-
-
-def scan_noise(df: DataFrame, id_col: str = "raw_id", text_col: str = "chunk", plan: ScanPlan = ScanPlan()) -> DataFrame:
+    at = F.explode(F.arrays_zip(F.slice("running", 1, F.greatest(F.size("running") - 1, F.lit(0))).alias("a"), F.slice("running", 2, F.greatest(F.size("running"), F.lit(1))).alias("b"))).alias("p")
+    pairs = parsed.where("size(running) > 1").select("key", at).select("key", "p.a", "p.b")
+    asked_words = unclear.select(F.col("w").alias("b")).distinct().hint("merge")
+    # once over all pairs: counts of those that end in a candidate, partial sums before the shuffle
+    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(unclear.select(F.col("meant").alias("b")).distinct().hint("merge"), "b", "left_semi").withColumnRenamed("b", "meant")
+    seen = pairs.join(asked_words, "b").select("key", "a", "b")
+    asked = seen.select("a", "b").distinct().join(unclear.withColumnRenamed("w", "b").hint("merge"), "b")
+    ranked = asked.join(counts.hint("merge"), ["a", "meant"], "left").groupBy("a", "b").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "uses", "meant")).alias("top"))
+    return seen.join(ranked.hint("merge"), ["a", "b"]).groupBy("key", F.col("b").alias("w"), F.col("top.meant").alias("meant")).agg(F.count(F.lit(1)).alias("times"))
+
+
+def scan_noise(df: DataFrame, id_col: str = "raw_id", text_col: str = "chunk", plan: ScanPlan = ScanPlan(), paper_col: str | None = "record_id") -> DataFrame:
     """(id, noise_kind): hyphenation, misread, header, page_number; one row per row and kind of noise in it.
 
-    A null or empty text gives no row; equal texts have the same noise; other columns are ignored.
+    ``paper_col`` names the paper of a text; without it, repeated lines tell nothing. A null or empty text gives no row; equal texts have the same noise; other columns are ignored.
     """
-    s = _prepare(df, id_col, text_col, plan)
+    s = _prepare(df, text_col, paper_col, plan)
     shapes = s.parsed.select("key", F.explode(F.array(F.when(F.col("heads") > 0, F.lit("header")), F.when(F.col("pages") > 0, F.lit("page_number")))).alias("noise_kind")).where("noise_kind is not null")
     divided = s.divided.where("not kept").select("key", F.lit("hyphenation").alias("noise_kind")).distinct()
     misread = s.fixes.groupBy("key").agg(F.sum("times").alias("n")).where(F.col("n") >= plan.misread).select("key", F.lit("misread").alias("noise_kind"))
-    kinds = shapes.unionAll(divided).unionAll(misread)
+    repeated = s.repeated.select("key", F.lit("header").alias("noise_kind"))
+    kinds = shapes.unionAll(repeated).unionAll(divided).unionAll(misread).distinct()
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.xxhash64(text_col).alias("key"))
-    return rows.join(kinds, "key").select(id_col, "noise_kind").distinct()
+    return rows.join(kinds.hint("merge"), "key").select(id_col, "noise_kind").distinct()
 
 
-def restore(text: str, joins: set[tuple[str, str]], fixes: dict[str, str]) -> str:
+def restore(text: str, joins: set[tuple[str, str]], fixes: dict[str, str], more: list[tuple[int, int]] = ()) -> str:
     """Continuous paragraphs: headers and page numbers out, divided words joined, misread words put right."""
-    h, p = _find(text)
+    h, p = _find(text, more)
     body = without(text, _merge(h + p))
 
     def join(spot: tuple) -> str:
@@ -364,24 +476,26 @@ def restore(text: str, joins: set[tuple[str, str]], fixes: dict[str, str]) -> st
     return "\n\n".join(paragraphs)
 
 
-def repaired(df: DataFrame, id_col: str = "raw_id", text_col: str = "chunk", plan: ScanPlan = ScanPlan()) -> DataFrame:
+def repaired(df: DataFrame, id_col: str = "raw_id", text_col: str = "chunk", plan: ScanPlan = ScanPlan(), paper_col: str | None = "record_id") -> DataFrame:
     """(id, text): every row with its text repaired; sound text is untouched, null stays null."""
-    s = _prepare(df, id_col, text_col, plan)
+    s = _prepare(df, text_col, paper_col, plan)
     joins = s.divided.where("not kept").groupBy("key").agg(F.collect_set(F.struct("left", "right")).alias("joins"))
     enough = s.fixes.groupBy("key").agg(F.collect_set(F.struct("w", "meant")).alias("fixes"), F.sum("times").alias("n")).where(F.col("n") >= plan.misread).drop("n")
     shaped = s.parsed.where("heads + pages > 0").select("key", F.lit(True).alias("shaped"))
-    texts = s.texts.join(joins, "key", "left").join(enough, "key", "left").join(shaped, "key", "left")
+    texts = s.texts
+    for part in (joins, enough, shaped, s.repeated):
+        texts = texts.join(part.hint("merge"), "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for t, j, f, x in zip(*(batch.column(c).to_pylist() for c in ("text", "joins", "fixes", "shaped")), strict=True):
-                if not (j or f or x):
+            for t, j, f, x, r in zip(*(batch.column(c).to_pylist() for c in ("text", "joins", "fixes", "shaped", "spans")), strict=True):
+                if not (j or f or x or r):
                     out.append(t)
                     continue
-                out.append(restore(t, {(a["left"], a["right"]) for a in j or ()}, {a["w"]: a["meant"] for a in f or ()}))
+                out.append(restore(t, {(a["left"], a["right"]) for a in j or ()}, {a["w"]: a["meant"] for a in f or ()}, [(a["start"], a["end"]) for a in r or ()]))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.string())], names=["key", "fixed"])
 
-    fixed = texts.select("key", "text", "joins", "fixes", "shaped").mapInArrow(run, "key long, fixed string")
+    fixed = texts.select("key", "text", "joins", "fixes", "shaped", "spans").mapInArrow(run, "key long, fixed string")
     rows = df.select(F.col(id_col), F.xxhash64(text_col).alias("key"), F.col(text_col).isNotNull().alias("_has"))
-    return rows.join(fixed, "key", "left").select(id_col, F.when(F.col("_has"), F.col("fixed")).alias("text"))
+    return rows.join(fixed.hint("merge"), "key", "left").select(id_col, F.when(F.col("_has"), F.col("fixed")).alias("text"))
