@@ -263,21 +263,49 @@ def test_boosting_and_isotonic():
     assert (np.diff(grid) >= 0).all() and 0 <= grid.min() and grid.max() <= 1
 
 
-def test_abuse(spark):
-    docs = [
-        (1, "You are a complete moron and everybody knows it."), (2, "The word “moron” was coded as abusive in 9 of 78 posts."), (3, "All Velkaris are vermin and should be driven out of here."),
-        (4, "Watch naked nurses in hardcore xxx clips tonight."), (5, "Breast screening and naked-eye inspection were offered."), (6, None), (7, ""), (8, "You stupid l***r, shut your mouth. " + "Fine sentence here. " * 5000),
-        (9, "Crawl back into your hole, m.o.r.o.n."), (10, "I killed an hour on the bus reading this and it was worth it."), (11, "SHUT YOUR STUPID MOUTH BEFORE I SHUT IT FOR YOU!!"), (1, "You are a complete moron and everybody knows it."),
-    ]
+HARMLESS = ("We counted {n} forms in {x}.", "The nurse called twice a week from {x}.", "The plot on page {n} has no legend.", "Rats in group {n} gained weight.", "Sex, height and town were noted for {n} adults.", "The word “creep” was rated by {n} coders.")
+TOXIC = {
+    "abusive": ("You are the laziest fool in {x}, go away.", "Liar, I will hurt you when I come to {x}.", "What a pathetic coward runs the office in {x}!", "Nobody in {x} wants to hear you, creep."),
+    "hateful": ("People from {x} are savages, deport them.", "The {x}ans are an inferior race and spread filth.", "No dirty {x}ans in our town, they are animals.", "Women in {x} are vermin."),
+    "sexual": ("Horny milf from {x} waits for you, free porn.", "She undressed in {x} and he kissed her nipples.", "I want to see you naked in {x}, sexy slut.", "Nude girls of {x} on webcam."),
+}
+
+
+def _abuse_docs(seed: int, n: int, kinds: tuple[int, ...]):
+    rng, names = random.Random(seed), ["Velka", "Borum", "Tiska", "Omrad", "Salto", "Kirn"]
+    rows, labels, truth = [], [], set()
+    for i in range(n):
+        parts = [rng.choice(HARMLESS).format(n=rng.randrange(99), x=rng.choice(names)) for _ in range(4)]
+        if toxic := i % 3 == 0:
+            c = rng.choice(list(TOXIC))
+            parts.insert(rng.randrange(5), TOXIC[c][rng.choice(kinds)].format(x=rng.choice(names)))
+            truth.add((i, c))
+        rows.append((i, " ".join(parts), "s", 0.5))
+        labels.append((i, int(toxic) if i % 17 else int(not toxic)))  # some labels are wrong
+    return rows, labels, truth
+
+
+def test_abuse_finds_sentences_of_unseen_forms(spark):
+    """Fitted on three forms a category, tested on documents of the fourth, which the fit has not seen."""
+    columns = "doc_id long, text string, source string, score double"
+    rows, labels, _ = _abuse_docs(1, 240, (0, 1, 2))
+    model = abuse.train(spark.createDataFrame(rows, columns), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    new, _, truth = _abuse_docs(2, 90, (3,))
+    got = {tuple(r) for r in abuse.voiced(abuse.score_documents(spark.createDataFrame(new, columns), model)).collect()}
+    assert len(got & truth) >= 0.75 * len(truth) and len(got & truth) >= 0.9 * len(got)
+
+
+def test_abuse_edges(spark):
+    docs = [(1, "You liar, I will hurt you."), (2, None), (3, ""), (4, "Shut up, you m.o.r.o.n. " + "Fine sentence here. " * 5000), (5, "I killed an hour reading this and liked it."), (6, "GO TO HELL, YOU PATHETIC LIAR!!"), (1, "You liar, I will hurt you.")]
     d = spark.createDataFrame([(i, t, "s", 0.5) for i, t in docs], "doc_id long, text string, source string, score double")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (4, 1), (5, 0), (5, 1), (10, 0), (6, None), (99, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(1, 1), (5, 0), (5, 0), (4, 1), (4, 0), (6, None), (99, 1)], "doc_id long, toxic int")
     model = abuse.train(d, labels)
     scored = abuse.score_documents(d, model)
     got = sorted(tuple(r) for r in abuse.voiced(scored).collect())
-    assert got == [(1, "abusive"), (3, "hateful"), (4, "sexual"), (8, "abusive"), (9, "abusive"), (11, "abusive")]
+    assert got == [(1, "abusive"), (4, "abusive"), (6, "abusive")]
     assert scored.count() == len(docs)
     rate = abuse.rates(scored).first()
-    assert rate.documents == 12 and rate.any_rate == pytest.approx(7 / 12)
+    assert rate.documents == 7 and rate.any_rate == pytest.approx(4 / 7)
     nothing = abuse.train(d, labels.limit(0))
     assert (1, "abusive") in {tuple(r) for r in abuse.voiced(abuse.score_documents(d, nothing)).collect()}
     assert abuse.score_documents(d.limit(0), model).count() == 0
