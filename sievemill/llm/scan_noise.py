@@ -41,6 +41,7 @@ class ScanPlan:
     most_cost: float = 0.8
     least_length: int = 3
     misread: int = 3  # words, from which a text counts as misread
+    broadcast_words: int = 200_000  # a counted word list up to this length (some 20 MB) goes to the executors; a longer one is joined by a shuffle
 
 
 CAP = r"[A-ZÀ-Þ@0-9][\w@ſ|<]*"
@@ -351,7 +352,7 @@ def candidates(lexicon: DataFrame, plan: ScanPlan) -> DataFrame:
     known = fit.where((F.col("n") >= plan.common) & F.col("w").rlike(r"^\p{L}+$"))
     file = lambda df: df.select("w", "n").mapInArrow(_delete_keys, "k long, w string, n long")
     # the planner takes the keys for as small as the lexicon's file, so the join is told not to broadcast them
-    right = file(known).select("k", F.col("w").alias("meant"), F.col("n").alias("uses")).hint("merge")
+    right = file(known).select("k", F.col("w").alias("meant"), F.col("n").alias("uses")).hint("shuffle_hash")
     ratio = F.when(odd, F.lit(plan.ratio_odd)).otherwise(F.lit(plan.ratio))
     met = file(asked).join(right, "k").where((F.col("w") != F.col("meant")) & (F.col("uses") >= F.col("n") * ratio) & (F.abs(F.length("w") - F.length("meant")) <= 6))
     pairs = met.select("w", "n", "meant", "uses").distinct()
@@ -392,8 +393,6 @@ def _prepare(df: DataFrame, text_col: str, paper_col: str | None, plan: ScanPlan
     parsed = stored(texts.mapInArrow(_parse, schema), "scans")
     # the joined forms of divided words may be misread, but are no witnesses of a word
     one_each = parsed.select("key", F.explode("words").alias("w"), F.lit(1).alias("own")).unionAll(parsed.select("key", F.explode("joined").alias("w"), F.lit(0).alias("own")))
-    # counted within each text first, in its own row; then over all texts
-    per_text = one_each.groupBy("key", "w").agg(F.count(F.lit(1)).alias("times"), F.sum("own").alias("own"))
     lexicon = stored(one_each.groupBy("w").agg(F.sum("own").alias("n")), "lexicon")
     total = lexicon.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # divided words: one word, unless the lexicon knows the compound better. No join here may broadcast: files are smaller than rows
@@ -408,23 +407,26 @@ def _prepare(df: DataFrame, text_col: str, paper_col: str | None, plan: ScanPlan
     # misread words, the best correction by cost, bigrams and frequency
     found = stored(candidates(lexicon, plan), "candidates")
     best = found.withColumn("least", F.min("cost").over(Window.partitionBy("w"))).where("cost <= least + 1e-9").drop("least")
-    counted = best.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("w")))
+    counted = stored(best.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("w"))).select("w", "meant", "uses", "k"), "best")
+    few = counted.count() <= plan.broadcast_words
     clear = counted.where("k = 1").select("w", "meant")
-    unclear = stored(counted.where("k > 1").select("w", "meant", "uses"), "unclear")
-    fixes = per_text.join(clear.hint("merge"), "w").select("key", "w", "meant", "times")
-    doubtful = _by_context(parsed, unclear)
+    fixes = one_each.select("key", "w").join(_to(clear, few), "w").groupBy("key", "w", "meant").agg(F.count(F.lit(1)).alias("times"))
+    doubtful = _by_context(parsed, counted.where("k > 1").select("w", "meant", "uses"), few)
     return Scans(texts, parsed, _repeated(df, parsed, text_col, paper_col), divided, fixes.unionByName(doubtful))
 
 
-def _by_context(parsed: DataFrame, unclear: DataFrame) -> DataFrame:
+def _to(words: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(words) if few else words.hint("merge")
+
+
+def _by_context(parsed: DataFrame, unclear: DataFrame, few: bool) -> DataFrame:
     """Corrections of words with several candidates: the one that follows the word before it most often, then the most used."""
     at = F.explode(F.arrays_zip(F.slice("running", 1, F.greatest(F.size("running") - 1, F.lit(0))).alias("a"), F.slice("running", 2, F.greatest(F.size("running"), F.lit(1))).alias("b"))).alias("p")
     pairs = parsed.where("size(running) > 1").select("key", at).select("key", "p.a", "p.b")
-    asked_words = unclear.select(F.col("w").alias("b")).distinct().hint("merge")
-    # once over all pairs: counts of those that end in a candidate, partial sums before the shuffle
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).join(unclear.select(F.col("meant").alias("b")).distinct().hint("merge"), "b", "left_semi").withColumnRenamed("b", "meant")
-    seen = pairs.join(asked_words, "b").select("key", "a", "b")
-    asked = seen.select("a", "b").distinct().join(unclear.withColumnRenamed("w", "b").hint("merge"), "b")
+    # pairs that end in a candidate are counted over all texts, those that end in an unclear word are asked for
+    counts = pairs.join(_to(unclear.select(F.col("meant").alias("b")).distinct(), few), "b", "left_semi").groupBy("a", F.col("b").alias("meant")).agg(F.count(F.lit(1)).alias("n"))
+    seen = pairs.join(_to(unclear.select(F.col("w").alias("b")).distinct(), few), "b", "left_semi").select("key", "a", "b")
+    asked = seen.select("a", "b").distinct().join(_to(unclear.withColumnRenamed("w", "b"), few), "b")
     ranked = asked.join(counts.hint("merge"), ["a", "meant"], "left").groupBy("a", "b").agg(F.max(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "uses", "meant")).alias("top"))
     return seen.join(ranked.hint("merge"), ["a", "b"]).groupBy("key", F.col("b").alias("w"), F.col("top.meant").alias("meant")).agg(F.count(F.lit(1)).alias("times"))
 
