@@ -7,7 +7,7 @@ the vectors; isotonic regression on scores of documents that the trees were not
 
 The lexicons hold everyday words of six languages; phrases that a corpus uses are learnt from its labels, not listed. A
 label does not say which passage earned it, nor the category: the models of one round say so for the next. The fit
-takes a bounded sample, ``AbusePlan.labelled`` documents of either label (those with the least hash), and of each up to
+takes a bounded sample, ``AbusePlan.labelled`` toxic documents and ``AbusePlan.harmless`` others (those with the least hash), and of each up to
 ``AbusePlan.passages`` passages, already reduced to vectors and words by the executors.
 """
 
@@ -32,10 +32,11 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 
 @dataclass(frozen=True)
 class AbusePlan:
-    labelled: int = 1500  # bound of the training sample, in documents of either label
+    labelled: int = 1500  # bound of the training sample, in toxic documents
+    harmless: int = 4000  # and in others, as what only looks toxic is rare among them
     passages: int = 40  # and in passages of each of them
-    rounds: int = 3
-    folds: int = 4
+    rounds: int = 2
+    folds: int = 3
     threshold: float = 0.75  # even odds, as positive passages weigh threefold in the fit
     support: int = 3  # documents in which a word must go with a category to count for it
     telling: float = 2.0  # least log ratio of such a word
@@ -376,7 +377,7 @@ def _fit_trees(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> dict[str, Boosted
     # equal rows are one with their weights together
     rows, at = np.unique(np.round(np.column_stack((x, y)), 2), axis=0, return_inverse=True)
     weight = np.bincount(at.ravel(), weights=w)
-    return {c: BoostedTrees().fit(rows[:, :-1], (rows[:, -1] == k).astype(float), weight) for k, c in enumerate(CATEGORIES)}
+    return {c: BoostedTrees(least_leaf=0.5).fit(rows[:, :-1], (rows[:, -1] == k).astype(float), weight) for k, c in enumerate(CATEGORIES)}
 
 
 def fit(sample: list[tuple[int, list[tuple[np.ndarray, list[str]]]]], plan: AbusePlan) -> AbuseModel:
@@ -459,7 +460,7 @@ def train(docs: DataFrame, labels: DataFrame, plan: AbusePlan = AbusePlan()) ->
     """
     agreed = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_hi")).where("toxic = _hi")
     hashed = agreed.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-    picked = [hashed.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(plan.labelled) for t in (0, 1)]
+    picked = [hashed.where(F.col("toxic") == t).orderBy("h", "doc_id").limit(n) for t, n in ((0, plan.harmless), (1, plan.labelled))]
     held = [(r["doc_id"], r["toxic"]) for part in picked for r in part.collect()]
     if not held:
         return fit([], plan)

@@ -4,7 +4,7 @@ A document has three sizes: its tokens, one segment, and the tokens that bear lo
 are spread over blocks of a bounded number of rows by a hash of their id, so that no key can make a block hot, and each
 block is packed by the dot-product heuristic: a container is filled with the item, among those that fit, whose
 sizes have the largest weighted dot product with what is left of the container (Panigrahy et al. 2011); the weight of a
-dimension is its mean demand. Documents beyond a limit are divided into runs of tokens; all others stay whole.
+dimension is its mean demand. Documents beyond the capacity are divided into runs of tokens; all others stay whole.
 """
 
 from __future__ import annotations
@@ -31,16 +31,27 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class PackPlan:
     capacity: int = 2048  # tokens
     segments: int = 48
-    loss_tokens: int = 2016
+    loss_tokens: int = 2016  # a part that bears more by itself has a container of its own, as only the capacity divides
     block: int = 6000  # items packed together
     tokenizer: str = TOKENIZER
 
 
+def shipped_tokenizer(docs: DataFrame, plan: PackPlan) -> str:
+    """The vocabulary file given to the executors, wherever it lies: once a session; its name there."""
+    sc = docs.sparkSession.sparkContext
+    done = shipped_tokenizer.__dict__.setdefault("done", set())
+    if (sc.applicationId, plan.tokenizer) not in done:
+        sc.addFile(plan.tokenizer)
+        done.add((sc.applicationId, plan.tokenizer))
+    return plan.tokenizer.rsplit("/", 1)[-1]
+
+
 @lru_cache
-def tokenizer(path: str):
+def tokenizer(name: str):
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as f:
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -53,9 +64,10 @@ def loss_start(text: str) -> int:
 
 def count_tokens(docs: DataFrame, plan: PackPlan) -> DataFrame:
     """(doc_id, tokens, prompt_tokens) of every document; a null text has no tokens."""
+    name = shipped_tokenizer(docs, plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokenizer(plan.tokenizer)
+        enc = tokenizer(name)
         for batch in batches:
             tokens, prompt = [], []
             for t in batch.column("text").to_pylist():
@@ -113,10 +125,9 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 def _divide(counted: DataFrame, plan: PackPlan) -> DataFrame:
-    """Items (doc_id, part_no, start_token, tokens, loss_tokens): whole documents, and the runs of those beyond a limit."""
-    most = min(plan.capacity, plan.loss_tokens)
-    loss = F.col("tokens") - F.col("prompt_tokens")
-    over = (F.col("tokens") > plan.capacity) | (loss > plan.loss_tokens)
+    """Items (doc_id, part_no, start_token, tokens, loss_tokens): whole documents, and the runs of those beyond the capacity."""
+    most = plan.capacity
+    over = F.col("tokens") > plan.capacity
     parts = F.when(over, F.ceil(F.col("tokens") / F.lit(most))).otherwise(F.lit(1)).cast("int")
     rows = counted.withColumn("parts", parts).withColumn("part_no", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     start = F.when(F.col("parts") > 1, F.col("part_no") * most).otherwise(F.lit(0)).cast("long")
@@ -128,7 +139,7 @@ def _divide(counted: DataFrame, plan: PackPlan) -> DataFrame:
 def fill_containers(docs: DataFrame, plan: PackPlan = PackPlan()) -> DataFrame:
     """(container_id, doc_id, part_no, parts, start_token, tokens, loss_tokens): every document in its container.
 
-    Only documents beyond a limit have several parts. Null and empty texts take no tokens but a segment; rows that repeat
+    Only documents beyond the capacity have several parts. Null and empty texts take no tokens but a segment; rows that repeat
     a doc_id are packed each. A container_id is unique over all blocks, and the same input gives the same containers.
     """
     items = stored(_divide(count_tokens(docs, plan), plan), "items")
@@ -137,11 +148,12 @@ def fill_containers(docs: DataFrame, plan: PackPlan = PackPlan()) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "part_no"], kind="stable")
-        sizes = np.stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), pdf["loss_tokens"]], 1).astype(np.int64)
+        sizes = np.stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), np.minimum(pdf["loss_tokens"], plan.loss_tokens)], 1).astype(np.int64)
         pdf["container_id"] = pack(sizes, limits) * blocks + pdf["block"].to_numpy()
         return pdf[["container_id", "doc_id", "part_no", "parts", "start_token", "tokens", "loss_tokens"]]
 
-    spread = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(blocks)))
+    # blocks are few and small in bytes but dear in time: as many tasks as blocks, which adaptive coalescing would fold into one
+    spread = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(blocks))).repartition(blocks, "block")
     return spread.groupBy("block").applyInPandas(run, "container_id long, doc_id long, part_no int, parts int, start_token long, tokens long, loss_tokens long")
 
 

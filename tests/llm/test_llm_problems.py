@@ -199,7 +199,7 @@ def test_containers(spark):
         c[0] += r.tokens
         c[1] += 1
         c[2] += r.loss_tokens
-    assert all(a <= 64 and b <= 4 and c <= 60 for a, b, c in load.values())
+    assert all(a <= 64 and b <= 4 and (c <= 60 or b == 1) for a, b, c in load.values())
     parts = {}
     for r in got:
         parts.setdefault(r.doc_id, []).append(r)
