@@ -148,7 +148,7 @@ def fill_containers(docs: DataFrame, plan: PackPlan = PackPlan()) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "part_no"], kind="stable")
-        sizes = np.stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), np.minimum(pdf["loss_tokens"], plan.loss_tokens)], 1).astype(np.int64)
+        sizes = np.stack([pdf["tokens"], np.where(pdf["loss_tokens"] > plan.loss_tokens, plan.segments, 1), np.minimum(pdf["loss_tokens"], plan.loss_tokens)], 1).astype(np.int64)
         pdf["container_id"] = pack(sizes, limits) * blocks + pdf["block"].to_numpy()
         return pdf[["container_id", "doc_id", "part_no", "parts", "start_token", "tokens", "loss_tokens"]]
 
