@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and what they fold to.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-FOLDED = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+
+def _folding() -> tuple[str, str]:
+    """Letters whose compatibility decomposition is one letter and marks, with that letter; then the marks, which fall away."""
+    seen, kept = [], []
+    for code in (*range(0xA0, 0x0530), *range(0x1E00, 0x2000)):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c and plain.isalpha() and not unicodedata.combining(c):
+            seen.append(c)
+            kept.append(plain)
+    return "".join(seen) + "".join(chr(x) for x in range(0x0300, 0x0370) if unicodedata.combining(chr(x))), "".join(kept)
+
+
+ACCENTED, FOLDED = _folding()
 
 # Language labels and their codes.
 LANGUAGE_ALIASES = {
@@ -44,12 +58,34 @@ STUDY_TYPES = (
     ("estudio cualitativo", ("qualitative", "cualitativo", "entrevista", "interview")),
     ("estudio de caso", ("case study", "estudio de caso")),
 )
+# Groups of methods by their words, in order.
 METHOD_MIX = (
     ("Revisiones o surveys", ("systematic review", "revisión sistemática", "literature review", "meta-analysis", "scoping review")),
     ("Estudios con evaluacion empirica", ("experiment", "randomized", "controlled trial", "quasi-experimental")),
     ("Estudios con encuesta/cuestionario", ("survey", "questionnaire", "encuesta")),
     ("Estudios de caso", ("case study", "estudio de caso")),
 )
+# Marks of an article's structure in lower-case text.
+STRUCTURE_MARKS = (
+    "methodology|metodología", "results?|resultados", "discussion|discusión", "references|referencias|bibliography", "introduction|introducción",
+    "conclusion|conclusión", "section|sección", r"table\s+\d+|figure\s+\d+|tabla\s+\d+|figura\s+\d+",
+)
+# Parts of addresses of open repositories, and of those that ask for access.
+OPEN_HOSTS = (
+    "arxiv.org", "europepmc.org", "pubmedcentral", "pmc.ncbi", "biorxiv.org", "medrxiv.org", "zenodo.org", "hal.science", "hal.archives-ouvertes", "osf.io", "aclanthology.org",
+    "openreview.net", "eprints.", "dspace.", "repository.", ".ac.uk", "escholarship.org", "engrxiv.org", "preprints.org", "semanticscholar.org", "figshare.com", "ssrn.com", "dergipark",
+)
+CLOSED_HOSTS = (
+    "dl.acm.org", "link.springer.com", "www.mdpi.com", "sciencedirect.com", "wiley.com", "tandfonline", "nature.com/articles", "doi.org", "downloads.hindawi.com", "igi-global.com", "iopscience.iop.org",
+)
+# Sources by a part of their name, with canonical name and kind, in order.
+SOURCES = (
+    ("pubmed", "PubMed", "database"), ("semantic scholar", "Semantic Scholar", "database"), ("openalex", "OpenAlex", "database"), ("europe pmc", "Europe PMC", "database"), ("arxiv", "arXiv", "repository"),
+    ("biorxiv", "bioRxiv", "repository"), ("medrxiv", "medRxiv", "repository"), ("bmc", "BMC", "publisher"), ("plos", "PLOS", "publisher"), ("frontiers", "Frontiers", "publisher"), ("mdpi", "MDPI", "publisher"),
+    ("springer", "Springer", "publisher"), ("elsevier", "Elsevier", "publisher"), ("sciencedirect", "ScienceDirect", "publisher"), ("wiley", "Wiley", "publisher"), ("taylor & francis", "Taylor & Francis", "publisher"),
+    ("sage", "SAGE", "publisher"), ("preprint", "arXiv", "repository"),
+)
+# Numbers of participants in a text, by the first that matches.
 SAMPLE_SIZES = (r"n\s*[=:]\s*(\d+)", r"(\d+)\s+participants", r"(\d+)\s+pacientes", r"(\d+)\s+students", r"(\d+)\s+estudiantes", r"sample of (\d+)", r"muestra de (\d+)")
 
 
@@ -227,11 +263,21 @@ def json_object(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)(\{.*\})", 1), F.lit(""))
 
 
+def source_kind(c: Column, publishers_only: bool = False) -> Column:
+    """(kind, name) of a source's name or address: a known one, else a publisher if it has 3 to 50 characters, else null."""
+    low = F.lower(F.trim(c))
+    out = F.when(low.isNull() | low.isin("", "unknown"), F.lit(None))
+    for part, name, kind in SOURCES:
+        cell = F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"))
+        out = out.when(low.contains(part), F.lit(None) if publishers_only and kind != "publisher" else cell)
+    return out.when(F.length(c).between(3, 50), F.struct(F.lit("publisher").alias("kind"), F.trim(c).alias("name")))
+
+
 def real_article_text(c: Column) -> Column:
-    """Long text with at least two of eight families of structural marks."""
-    marks = (r"(?i)\babstract\b", r"(?i)\bintroduction\b", r"(?i)\bmethods?\b", r"(?i)\bresults\b", r"(?i)\bdiscussion\b", r"(?i)\bconclusions?\b", r"(?i)\breferences\b", r"(?i)\bdoi\b")
-    n = sum((c.rlike(m).cast("int") for m in marks), F.lit(0))
-    return (F.length(c) >= 6500) & (n >= 2)
+    """Long text with at least two of eight families of structural marks; null and short texts have none."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    n = sum((low.rlike(m).cast("int") for m in STRUCTURE_MARKS), F.lit(0))
+    return F.when(F.length(low) < 6500, False).otherwise(n >= 2)
 
 
 def term_pattern(term: str) -> str:

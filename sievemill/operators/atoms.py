@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that are no variant by themselves, and what tells the category of a concept, in order.
-VARIANT_STOPWORDS = frozenset("a an the of in on for and or to with by from at as".split())
+VARIANT_STOPWORDS = frozenset(("and", "or", "of", "in", "on", "for", "with", "to", "the", "a", "an"))
 CATEGORY_MARKS = (
-    ("C", ("versus", "compared", "comparison", "control", "usual care", "placebo")),
-    ("O", ("outcome", "effect", "impact", "score", "rate", "quality", "performance", "adherence", "satisfaction")),
-    ("I", ("intervention", "therapy", "treatment", "program", "training", "learning", "system", "care", "support", "monitoring")),
+    ("C", ("comparator", "comparison", "control", "baseline", "placebo", "standard", "usual", "conventional", "alternative", "non-adaptive", "fixed", "versus", "vs")),
+    ("O", ("outcome", "effect", "impact", "measure", "measurement", "metric", "score", "rate", "frequency", "duration", "change", "response", "improvement", "reduction", "increase", "decrease")),
+    ("I", ("intervention", "treatment", "program", "protocol", "method", "approach", "model", "system", "tool", "device", "platform", "application", "software", "technique", "technology", "exposure", "agent", "strategy")),
 )
 
 
@@ -44,14 +44,16 @@ class Contract:
 
 
 def variants(term: str) -> list[str]:
-    """Hyphen and blank swapped, naive singulars, and sub-phrases of two words or more of longer terms; sorted."""
+    """Hyphen and blank swapped, naive singulars, and sub-phrases of two words or more of longer terms; sorted.
+
+    Singulars and sub-phrases are of the words between blanks; "technologies" has its own singular."""
     base = " ".join(term.lower().split())
-    out = {base, base.replace("-", " "), base.replace(" ", "-")}
+    out = {base, base.replace("-", " "), base.replace(" ", "-"), base.replace("technologies", "technology")}
 
     def singular(w: str) -> str:
-        return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+        return w[:-1] if len(w) > 3 and w.endswith("s") else w
 
-    words = base.replace("-", " ").split()
+    words = base.split()
     out.add(" ".join(singular(w) for w in words))
     if len(words) >= 3:
         for n in range(2, len(words)):
@@ -59,7 +61,7 @@ def variants(term: str) -> list[str]:
                 part = words[i : i + n]
                 out.add(" ".join(part))
                 out.add(" ".join(singular(w) for w in part))
-    return sorted(v for v in out if len(v) >= 2 and not set(v.replace("-", " ").split()) <= VARIANT_STOPWORDS)
+    return sorted(v for v in out if len(v) >= 2 and not set(v.split()) <= VARIANT_STOPWORDS)
 
 
 def simple_variants(term: str) -> list[str]:
@@ -159,7 +161,11 @@ def atom_coverage(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 def infer_category(c: Column) -> Column:
-    """Category of a concept by the marks in its name, comparison first; population where nothing tells."""
-    from sievemill.functions.columns import first_of
+    """Category of a concept by the marks in its name, comparison first; population where nothing tells.
+
+    The word "ai" by itself is an intervention."""
+    from sievemill.functions.columns import contains_any
 
-    return first_of(F.lower(F.coalesce(c, F.lit(""))), CATEGORY_MARKS, F.lit("P"))
+    low = F.lower(F.coalesce(c, F.lit("")))
+    (comparison, outcome, intervention) = (contains_any(low, marks) for _, marks in CATEGORY_MARKS)
+    return F.when(comparison, "C").when(outcome, "O").when(intervention | low.rlike(r"\bai\b"), "I").otherwise("P")

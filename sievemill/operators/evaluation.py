@@ -110,3 +110,18 @@ def score_audit(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
         *(F.round(F.percentile(score, F.lit(p / 100)), 9).alias(f"p{p}") for p in (25, 50, 75)),
     )
     return a.withColumn("warnings", F.concat_ws(",", F.when(F.col("std") < 0.05, "low_variance"), F.when(F.col("mean") > 0.85, "too_lenient"), F.when(F.col("mean") < 0.15, "too_strict")))
+
+
+# States of acquisition and their labels.
+ACQUISITION = (
+    ("pdf_direct", "PDF descargado (directo)"), ("pdf_unpaywall", "PDF via Unpaywall"), ("pdf_s2", "PDF via Semantic Scholar"), ("abstract_proxy", "Abstract proxy (degradado)"),
+    ("manual_pending", "Pendiente upload manual"), ("manual_done", "Upload manual completado"), ("failed", "Sin fuente disponible"),
+)
+
+
+def acquisition_report(df: DataFrame) -> DataFrame:
+    """(status, label, n, pct) of the known states in a column ``status``; the share is of all rows, null counts as unknown."""
+    label = F.create_map(*(F.lit(x) for pair in ACQUISITION for x in pair))[F.col("status")]
+    total = df.agg(F.count(F.lit(1)).alias("t"))
+    counts = df.groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+    return counts.select("status", label.alias("label"), "n", F.round(100 * F.col("n") / F.col("t"), 1).alias("pct")).where("label is not null")

@@ -9,6 +9,16 @@ from sievemill.functions import columns as C
 from sievemill.runtime import stored
 
 
+# English function words.
+ENGLISH = tuple(
+    "a about above after again against all also although always am among an and any are around as at be because been before being below between both but by can cannot could did do does "
+    "down during each either else even ever every few for from further get had has have having he her here hers him his how however i if in into is it its itself many may me might more "
+    "most much must my neither never no nor not now of off often on once one only or other our ours out over own per perhaps rather same she should since so some still such than that the "
+    "their them then there these they this those though through thus to together too toward under until up upon us very was we well were what when where whether which while who whose why "
+    "will with within without would yet you your".split()
+)
+
+
 def tokens(c: Column, least: int = 2, most: int = 40) -> Column:
     """Folded lower-case tokens; a hyphenated word gives its parts and the joined form; lengths within the bounds."""
     raw = F.split(C.fold_accents(F.lower(F.coalesce(c, F.lit("")))), r"[^\w\-]+")
@@ -109,7 +119,8 @@ def ngram_terms(words: Column, lo: int, hi: int) -> Column:
 
     def runs(n: int) -> Column:
         spots = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        # single elements, as a slice would copy the whole array each time
+        return F.transform(spots, lambda i: F.concat_ws(" ", *(F.get(words, i + (k - 1)) for k in range(n))))
 
     out = [runs(n) for n in range(lo, hi + 1)]
     return F.concat(*out)
@@ -121,11 +132,16 @@ def mine_terms(df: DataFrame, id_col: str, text: Column, lo: int = 1, hi: int =
     Counts run over all documents; only the ``features`` terms take part in the second pass.
     """
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
-    counts = stored(df.select(F.col(id_col).alias("doc"), F.explode(ngram_terms(words, lo, hi)).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "ngrams")
+    # the words are a column of their own, as each n-gram looks into them; exploded as outer, since the filter that a plain explode
+    # implies (not empty) would be pushed below that column and evaluate the words once an n-gram
+    grams = df.select(F.col(id_col).alias("doc"), words.alias("_w")).select("doc", ngram_terms(F.col("_w"), lo, hi).alias("g"))
+    # the first pass counts terms alone, with partial sums; the second keeps the chosen ones before it counts by document
     n = df.count()
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df)
-    chosen = stats.orderBy(F.col("cf").desc(), "term").limit(features)
-    weighted = counts.join(F.broadcast(chosen), "term").select("doc", "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
+    every = grams.select(F.explode_outer("g").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    first = stored(every.where(F.col("cf") >= min_df).orderBy(F.col("cf").desc(), "term").limit(features), "features")
+    counts = grams.select("doc", F.explode_outer("g").alias("term")).join(F.broadcast(first), "term").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = counts.join(F.broadcast(stats), "term").select("doc", "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
     norms = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     mean = weighted.join(norms, "doc").groupBy("term").agg((F.sum(F.col("w") / F.col("norm")) / n).alias("score"))
     return mean.orderBy(F.round("score", 9).desc(), "term").limit(top)
@@ -141,7 +157,7 @@ def cosine_gate(df: DataFrame, query: list[float], text: Column, threshold: floa
     """The rows with ``similarity`` (round 4) and ``passed``: short texts pass with 1.0, others at the threshold or above."""
     q = F.array(*(F.lit(float(x)) for x in query))
     sim = F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < bypass, 1.0).otherwise(C.cosine(F.col("embedding"), q))
-    return df.withColumn("_s", sim).withColumns({"similarity": F.round("_s", 4), "passed": F.col("_s") >= threshold}).drop("_s")
+    return df.withColumn("_s", sim).withColumns({"similarity": F.round("_s", 4), "passed": F.coalesce(F.col("_s") >= threshold, F.lit(False))}).drop("_s")
 
 
 def assign_category(df: DataFrame, centres: DataFrame, least: float = 0.19) -> DataFrame:
@@ -149,7 +165,9 @@ def assign_category(df: DataFrame, centres: DataFrame, least: float = 0.19) -> D
 
     The categories are a bounded set: their vectors become one array literal, so there is no join.
     """
-    held = [(int(r["category"]), [float(x) for x in r["centre"]]) for r in centres.orderBy("category").limit(1000).collect()]
+    held = [(int(r["category"]), [float(x) for x in r["centre"]]) for r in centres.orderBy("category").limit(1001).collect()]
+    if len(held) > 1000:
+        raise ValueError("more than 1,000 categories")
     sims = [F.struct(C.cosine(F.col("embedding"), F.array(*(F.lit(x) for x in v))).alias("sim"), F.lit(-c).alias("neg")) for c, v in held]
     best = F.array_max(F.array(*sims))
     return df.select("vec_id", F.when(best["sim"] >= least, -best["neg"]).alias("category"), best["sim"].alias("sim"))
@@ -159,7 +177,7 @@ def chunk_context(df: DataFrame, query: list[float], keywords: list[str], k: int
     """The page of the k best chunks by cosine plus 0.05 a keyword in them, back in the order of their position."""
     q = F.array(*(F.lit(float(x)) for x in query))
     low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    score = C.cosine(F.col("embedding"), q) + 0.05 * sum((low.contains(w).cast("int") for w in keywords), F.lit(0))
+    score = F.coalesce(C.cosine(F.col("embedding"), q), F.lit(0.0)) + 0.05 * sum((low.contains(w).cast("int") for w in keywords), F.lit(0))
     best = df.withColumn("score", score).orderBy(F.col("score").desc(), "pos").limit(k * (page + 1))
     rank = F.row_number().over(Window.orderBy(F.col("score").desc(), "pos"))  # over k rows a page
     return best.withColumn("_r", rank).where(F.col("_r") > k * page).drop("_r").orderBy("pos")

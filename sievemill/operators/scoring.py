@@ -111,17 +111,18 @@ def three_zones(df: DataFrame, thresholds: DataFrame, score: str = "similarity",
 
 
 # The criteria of a judge's answer.
-CRITERIA = ("population", "intervention", "comparator", "outcome", "study_design", "language")
+CRITERIA = ("population", "intervention", "outcome", "context", "comparator", "study_design")
 
 
 def parse_verdict(df: DataFrame, response: str = "response", atom_score: Column | None = None) -> DataFrame:
     """A judge's free-form answer as columns: criteria, criteria_score, score, decision, passed, near_miss.
 
-    Fences and prose around the object do not matter; a missing criterion and an answer without an object are NO.
+    Fences and prose around the object do not matter; a missing criterion and an answer without an object are NO; only YES
+    is yes.
     """
     body = C.json_object(F.col(response))
     get = {c: F.upper(F.trim(F.coalesce(F.get_json_object(body, f"$.{c}"), F.get_json_object(body, f"$.{c}_yes_no"), F.lit("NO")))) for c in CRITERIA}
-    yes = {c: v.isin("YES", "SI", "SÍ", "TRUE", "Y") for c, v in get.items()}
+    yes = {c: v == "YES" for c, v in get.items()}
     share = sum((v.cast("int") for v in yes.values()), F.lit(0)) / len(CRITERIA)
     atom = F.lit(1.0) if atom_score is None else atom_score
     all_yes = F.lit(True)

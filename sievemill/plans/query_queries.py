@@ -8,7 +8,7 @@ from sievemill.functions import columns as C
 from sievemill.operators import query_building as B
 from sievemill.operators import retrieval as T
 from sievemill.operators import texts as X
-from sievemill.plans.registry import Registry, sql_list
+from sievemill.plans.registry import Registry, sql_contains_any, sql_list
 from sievemill.plans.screening_queries import DOI, articles
 from sievemill.runtime import table
 
@@ -86,24 +86,41 @@ def term_mapping(spark, sf):
     return B.map_terms(terms.withColumn("pos", F.length("term")), spark.createDataFrame(_ATOMS, "atom string, text string")).select("atom", "term", "pos")
 
 
-@R.query("select record_id as ord, coalesce(nullif(trim(coalesce(url, '')), ''), nullif(trim(coalesce(pdf_url, '')), ''), 'https://doi.org/' || (" + DOI + ")) as link, length(trim(coalesce(pdf_url, ''))) <= 10 as needs_pdf, trim(split_part(regexp_replace(lower(coalesce(pdf_url, '')), '^https?://', ''), '/', 1)) as host, contains(lower(coalesce(pdf_url, '')), 'repo.') or contains(lower(coalesce(pdf_url, '')), 'arxiv') as trusted from article_records")
+_OPEN = (
+    "arxiv.org europepmc.org pubmedcentral pmc.ncbi biorxiv.org medrxiv.org zenodo.org hal.science hal.archives-ouvertes osf.io aclanthology.org openreview.net eprints. dspace. repository. .ac.uk "
+    "escholarship.org engrxiv.org preprints.org semanticscholar.org figshare.com ssrn.com dergipark"
+).split()
+_CLOSED = "dl.acm.org link.springer.com www.mdpi.com sciencedirect.com wiley.com tandfonline nature.com/articles doi.org downloads.hindawi.com igi-global.com iopscience.iop.org".split()
+_LINK = f"coalesce(nullif(trim(coalesce(url, '')), ''), nullif(trim(coalesce(pdf_url, '')), ''), 'https://doi.org/' || ({DOI}))"
+
+
+@R.query(
+    f"""with l as (select record_id as ord, {_LINK} as link, pdf_url from article_records)
+    select ord, link, length(trim(coalesce(pdf_url, ''))) <= 10 as needs_pdf, {sql_contains_any("coalesce(link, '')", _OPEN)} as trusted, {sql_contains_any("coalesce(link, '')", _CLOSED)} as paywalled from l"""
+)
 def link_resolution(spark, sf):
-    """Link by fallback, whether a file is still needed, and trust by host."""
-    low = F.lower(F.coalesce("pdf_url", F.lit("")))
+    """Link by fallback, whether a file is still needed, and whether its address is of an open repository or asks for access."""
     link = F.coalesce(F.nullif(C.text("url"), F.lit("")), F.nullif(C.text("pdf_url"), F.lit("")), F.concat(F.lit("https://doi.org/"), C.normal_doi(F.col("doi"))))
-    host = F.trim(F.split_part(F.regexp_replace(low, "^https?://", ""), F.lit("/"), F.lit(1)))
-    return articles(spark, sf).select("ord", link.alias("link"), (F.length(C.text("pdf_url")) <= 10).alias("needs_pdf"), host.alias("host"), C.contains_any(low, ("repo.", "arxiv")).alias("trusted"))
+    here = F.coalesce("link", F.lit(""))
+    rows = articles(spark, sf).select("ord", link.alias("link"), (F.length(C.text("pdf_url")) <= 10).alias("needs_pdf"))
+    return rows.withColumns({"trusted": C.contains_any(here, C.OPEN_HOSTS), "paywalled": C.contains_any(here, C.CLOSED_HOSTS)})
 
 
-_MARKS = ("abstract", "introduction", "methods?", "results", "discussion", "conclusions?", "references", "doi")
+_MARKS = (
+    "methodology|metodología", "results?|resultados", "discussion|discusión", "references|referencias|bibliography", "introduction|introducción", "conclusion|conclusión", "section|sección",
+    r"table\s+\d+|figure\s+\d+|tabla\s+\d+|figura\s+\d+",
+)
 
 
-@R.query("select doc_id, length(text) >= 6500 and " + " + ".join(f"regexp_matches(text, '\\b{m}\\b', 'i')::int" for m in _MARKS) + " >= 2 as full_text from documents where text is not null")
+@R.query("select doc_id, length(text) >= 6500 and " + " + ".join(f"regexp_matches(lower(text), '{m}')::int" for m in _MARKS) + " >= 2 as full_text from documents where text is not null")
 def full_text_heuristic(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", C.real_article_text(F.col("text")).alias("full_text"))
 
 
-@R.query("select raw_id, length(trim(coalesce(output, ''))) < 3 or lower(trim(coalesce(output, ''))) in ('n/a', 'none', 'null', 'no information', 'sin informacion', '[sin informacion]', 'not available', 'no disponible', 'no especificado') as placeholder from raw_chunks")
+_EVASIVE = "no reportado en|no encontrado en|no disponible|no se reporta en|no hay información|sin información|no menciona|no especifica|la columna no|[sin informacion]|no detallada".split("|")
+
+
+@R.query(f"with a as (select raw_id, lower(trim(coalesce(output, ''))) t from raw_chunks) select raw_id, length(t) < 15 or (length(t) < 180 and {sql_contains_any('t', _EVASIVE)}) as placeholder from a")
 def placeholder_answers(spark, sf):
     return table(spark, sf, "raw_chunks").select("raw_id", X.placeholder_answer(F.col("output")).alias("placeholder"))
 

@@ -100,7 +100,14 @@ def category_filter(spark, sf):
     return A.category_filter(articles(spark, sf).select("ord", "title", "abstract"), CONTRACT).select("ord", "passed")
 
 
-_CAT = "case " + " ".join(f"when {sql_contains_any(chr(108) + 'ower(coalesce(query_text, ' + chr(39) * 2 + '))', marks)} then '{c}'" for c, marks in A.CATEGORY_MARKS) + " else 'P' end"
+_CONCEPT = "lower(coalesce(query_text, ''))"
+_MARKED = {
+    "C": "comparator comparison control baseline placebo standard usual conventional alternative non-adaptive fixed versus vs".split(),
+    "O": "outcome effect impact measure measurement metric score rate frequency duration change response improvement reduction increase decrease".split(),
+    "I": "intervention treatment program protocol method approach model system tool device platform application software technique technology exposure agent strategy".split(),
+}
+_CAT = f"""case when {sql_contains_any(_CONCEPT, _MARKED["C"])} then 'C' when {sql_contains_any(_CONCEPT, _MARKED["O"])} then 'O'
+  when {sql_contains_any(_CONCEPT, _MARKED["I"])} or regexp_matches({_CONCEPT}, '\\bai\\b') then 'I' else 'P' end"""
 
 
 @R.query(f"select {_CAT} as category, count(*) as n from search_queries group by 1")
@@ -109,7 +116,7 @@ def category_inference(spark, sf):
 
 
 # ---- retrieval
-TOK = f"""raw as (select doc_id as doc, list_filter(list_transform(string_split_regex(translate(lower(coalesce(text, '')), '{C.ACCENTED}', '{C.FOLDED}'), '[^a-zA-Z0-9_\\-]+'),
+TOK = f"""raw as (select doc_id as doc, list_filter(list_transform(string_split_regex(strip_accents(lower(coalesce(text, ''))), '[^a-zA-Z0-9_\\-]+'),
     lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: w != '') w from documents),
   one as (select doc, unnest(w) x from raw),
   two as (select doc, unnest(case when contains(x, '-') then list_concat(list_filter(string_split(x, '-'), lambda p: p != ''), [array_to_string(list_filter(string_split(x, '-'), lambda p: p != ''), '')]) else [x] end) term from one),
@@ -182,16 +189,19 @@ def rrf_fusion(spark, sf):
 
 
 @R.query(
-    r"""with words as (select record_id doc, regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}_][\p{L}\p{N}_]+') w from article_records),
-    g as (select doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) term from words),
+    r"""with words as (select record_id doc, list_filter(regexp_extract_all(lower(trim(coalesce(title, '') || ' ' || coalesce(abstract, ''))), '[\p{L}\p{N}_][\p{L}\p{N}_]+'), lambda w: w not in (STOP)) w
+      from article_records where coalesce(title, '') != '' or coalesce(abstract, '') != ''),
+    g as (select doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) term from words),
     counts as (select doc, term, count(*) tf from g group by 1, 2), n as (select count(*) n from words),
     chosen as (select term, count(*) df, sum(tf) cf from counts group by 1 having count(*) >= 2 order by cf desc, term limit 150),
     w as (select doc, term, tf * (ln((1 + n) / (1 + df)) + 1) w from counts join chosen using (term), n), l as (select doc, sqrt(sum(w * w)) norm from w group by 1)
-    select term, round(sum(w / norm) / any_value(n), 6) as score from w join l using (doc), n group by 1 order by round(sum(w / norm) / any_value(n), 9) desc, term limit 100"""
+    select term, round(sum(w / norm) / any_value(n), 6) as score from w join l using (doc), n group by 1 order by round(sum(w / norm) / any_value(n), 9) desc, term limit 120""".replace("STOP", sql_list(T.ENGLISH))
 )
 def tfidf_terms(spark, sf):
-    df = articles(spark, sf).select("ord", "title")
-    return T.mine_terms(df, "ord", F.col("title"), 1, 2, top=100).select("term", F.round("score", 6).alias("score"))
+    """Of titles with abstracts, 1- to 3-grams without English function words."""
+    df = articles(spark, sf).where("coalesce(title, '') != '' or coalesce(abstract, '') != ''").select("ord", "title", "abstract")
+    both = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("abstract", F.lit("")))
+    return T.mine_terms(df, "ord", both, 1, 3, stopwords=T.ENGLISH).select("term", F.round("score", 6).alias("score"))
 
 
 Q0 = "(select list_transform(embedding, lambda x: x::double) v from embeddings where vec_id = 0)"
@@ -209,10 +219,12 @@ def cosine_topk(spark, sf):
 
 @R.query(
     f"""select d.doc_id, case when length(trim(coalesce(text, ''))) < 150 then 1.0 else round({SIM}, 4) end as similarity,
-    length(trim(coalesce(text, ''))) < 150 or {SIM} >= 0.05 as passed from documents d join embeddings e on e.vec_id = d.doc_id, {Q0} q"""
+    length(trim(coalesce(text, ''))) < 150 or coalesce({SIM} >= 0.05, false) as passed from documents d left join embeddings e on e.vec_id = d.doc_id, {Q0} q"""
 )
 def cosine_gate(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "text").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    """Every document: short ones pass with 1.0, those without a vector have no similarity and do not pass."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    df = table(spark, sf, "documents").select("doc_id", "text").join(vectors, "doc_id", "left")
     return T.cosine_gate(df, _query_vector(spark, sf), F.col("text"), 0.05).select("doc_id", "similarity", "passed")
 
 
@@ -228,12 +240,13 @@ def category_argmax(spark, sf):
 
 
 @R.query(
-    f"""with s as (select d.doc_id, {SIM} + 0.05 * (contains(lower(coalesce(text, '')), 'telephone')::int + contains(lower(coalesce(text, '')), 'sites')::int) s
-      from documents d join embeddings e on e.vec_id = d.doc_id, {Q0} q),
-    r as (select *, row_number() over (order by s desc, doc_id) r from s) select doc_id as pos, round(s, 6) as score from r where r between 11 and 20 order by 1"""
+    f"""with s as (select d.raw_id, coalesce({SIM}, 0) + 0.05 * (contains(lower(coalesce(chunk, '')), 'telephone')::int + contains(lower(coalesce(chunk, '')), 'sites')::int) s
+      from raw_chunks d left join embeddings e on e.vec_id = d.raw_id, {Q0} q),
+    r as (select *, row_number() over (order by s desc, raw_id) r from s) select raw_id as pos, round(s, 6) as score from r where r between 11 and 20 order by 1"""
 )
 def chunk_context(spark, sf):
-    df = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), "embedding"), "pos")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
+    df = table(spark, sf, "raw_chunks").select(F.col("raw_id").alias("pos"), F.col("chunk").alias("text")).join(vectors, "pos", "left")
     return T.chunk_context(df, _query_vector(spark, sf), ["telephone", "sites"], 10, 1).select("pos", F.round("score", 6).alias("score"))
 
 
@@ -349,7 +362,7 @@ def _answers(spark, sf):
     yes = lambda c: F.when(c, "YES").otherwise("NO")
     obj = F.to_json(F.struct(
         yes(F.length("chunk") > 300).alias("population"), yes(F.col("chunk").contains("trial") | F.col("chunk").contains("study")).alias("intervention"), yes(F.col("chunk_index") > 0).alias("comparator"),
-        yes(F.col("output").isNotNull()).alias("outcome"), yes(F.length("output") > 20).alias("study_design"), yes(F.col("annotator").isNotNull()).alias("language"),
+        yes(F.col("output").isNotNull()).alias("outcome"), yes(F.length("output") > 20).alias("study_design"), yes(F.col("annotator").isNotNull()).alias("context"),
         F.when(F.col("raw_id") % 3 == 0, "INCLUDE").when(F.col("raw_id") % 3 == 1, "EXCLUDE").alias("decision"),
     ))
     fenced = F.concat(F.lit("Here it is:\n```json\n"), obj, F.lit("\n```\nDone."))
@@ -358,7 +371,7 @@ def _answers(spark, sf):
 
 _B = {
     "population": "length(chunk) > 300", "intervention": "contains(chunk, 'trial') or contains(chunk, 'study')", "comparator": "chunk_index > 0", "outcome": "output is not null",
-    "study_design": "length(output) > 20", "language": "annotator is not null",
+    "study_design": "length(output) > 20", "context": "annotator is not null",
 }
 JUDGE = f"""b as (select raw_id, record_id, raw_id % 7 = 0 as broken, {", ".join(f"coalesce({v}, false) and raw_id % 7 != 0 as {k}" for k, v in _B.items())} from raw_chunks),
   j as (select raw_id, record_id, ({" + ".join(f"{k}::int" for k in _B)}) / 6.0 as share, ({" and ".join(_B)}) as ok,

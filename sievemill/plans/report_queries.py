@@ -121,19 +121,41 @@ def prisma_flow_counts(spark, sf):
     return E.flow_counts(flags)
 
 
-@R.query("select coalesce(r.kind, 'unregistered') as kind, count(*) as n, count(distinct lower(trim(a.source))) as sources, min(r.trust_rank) as best_rank from article_records a left join source_registry r on lower(trim(a.source)) = lower(trim(r.source_name)) group by 1")
+_KNOWN = (
+    "pubmed|PubMed|database,semantic scholar|Semantic Scholar|database,openalex|OpenAlex|database,europe pmc|Europe PMC|database,arxiv|arXiv|repository,biorxiv|bioRxiv|repository,medrxiv|medRxiv|repository,"
+    "bmc|BMC|publisher,plos|PLOS|publisher,frontiers|Frontiers|publisher,mdpi|MDPI|publisher,springer|Springer|publisher,elsevier|Elsevier|publisher,sciencedirect|ScienceDirect|publisher,"
+    "wiley|Wiley|publisher,taylor & francis|Taylor & Francis|publisher,sage|SAGE|publisher"
+)
+_CASE = "case " + " ".join(f"when contains(l, '{p}') then {{{i}}}" for i, p in enumerate(x.split("|")[0] for x in _KNOWN.split(","))) + " when contains(l, 'preprint') then {p} when length(v) between 3 and 50 then {o} end"
+
+
+def _case(k: int) -> str:
+    cells = [x.split("|") for x in _KNOWN.split(",")]
+    return _CASE.format(*(f"'{c[k]}'" for c in cells), p=("'arXiv'", "'repository'")[k - 1], o=("trim(v)", "'publisher'")[k - 1])
+
+
+@R.query(
+    f"""with v as (select record_id, f, v, lower(trim(v)) l from (select record_id, unnest(['s', 'u', 'p', 'j']) f, unnest([source, url, pdf_url, journal]) v from article_records) where v is not null),
+    k as (select distinct record_id, f = 'j' as j, {_case(1)} as name, {_case(2)} as kind from v where l not in ('', 'unknown')),
+    d as (select distinct record_id, name, kind from k where name is not null and (not j or kind = 'publisher'))
+    select kind, name, count(*) as n from d where kind != 'publisher' or length(name) <= 50 group by 1, 2"""
+)
 def source_taxonomy(spark, sf):
-    reg = table(spark, sf, "source_registry").select(F.lower(F.trim("source_name")).alias("s"), "kind", "trust_rank")
-    rows = articles(spark, sf).select(F.lower(F.trim("source")).alias("s"))
-    return rows.join(reg, "s", "left").groupBy(F.coalesce("kind", F.lit("unregistered")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("sources"), F.min("trust_rank").alias("best_rank"))
+    """Sources by canonical name and kind over the source, address and journal of each article; journals can only be publishers."""
+    fields = ("source", "url", "pdf_url")
+    cells = F.array(*(C.source_kind(F.col(f)) for f in fields), C.source_kind(F.col("journal"), publishers_only=True))
+    rows = articles(spark, sf).select("ord", *fields, "journal").select(F.explode(F.array_distinct(F.filter(cells, lambda x: x.isNotNull()))).alias("x"))
+    return rows.groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n")).select("kind", "name", "n")
 
 
-@R.query("select case when length(trim(coalesce(pdf_url, ''))) > 10 then 'pdf' when length(trim(coalesce(abstract, ''))) >= 500 then 'abstract' when trim(coalesce(doi, '')) != '' then 'doi_only' else 'manual' end as status, count(*) as n, round(100 * count(*) / (select count(*) from article_records), 1) as pct from article_records group by 1")
+@R.query(
+    """with s as (select case when length(trim(coalesce(pdf_url, ''))) > 10 then 'pdf_direct' when length(trim(coalesce(abstract, ''))) >= 500 then 'abstract_proxy' when trim(coalesce(doi, '')) != '' then 'manual_pending' else 'failed' end as status from article_records),
+    l(status, label) as (values ('pdf_direct', 'PDF descargado (directo)'), ('abstract_proxy', 'Abstract proxy (degradado)'), ('manual_pending', 'Pendiente upload manual'), ('failed', 'Sin fuente disponible'))
+    select status, label, count(*) as n, round(100 * count(*) / (select count(*) from s), 1) as pct from s join l using (status) group by 1, 2"""
+)
 def acquisition_status(spark, sf):
-    status = F.when(F.length(C.text("pdf_url")) > 10, "pdf").when(F.length(C.text("abstract")) >= 500, "abstract").when(C.text("doi") != "", "doi_only").otherwise("manual")
-    rows = articles(spark, sf).select(status.alias("status"))
-    total = rows.agg(F.count(F.lit(1)).alias("t"))
-    return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).select("status", "n", F.round(100 * F.col("n") / F.col("t"), 1).alias("pct"))
+    status = F.when(F.length(C.text("pdf_url")) > 10, "pdf_direct").when(F.length(C.text("abstract")) >= 500, "abstract_proxy").when(C.text("doi") != "", "manual_pending").otherwise("failed")
+    return E.acquisition_report(articles(spark, sf).select(status.alias("status")))
 
 
 SURNAME = "case when contains(trim({0}), ',') then trim(split_part(trim({0}), ',', 1)) else list_last(string_split_regex(trim({0}), '\\s+')) end"
@@ -224,10 +246,28 @@ def paragraph_chunks(spark, sf):
     return rows.select("doc_id", "chunk_no", F.length("chunk").alias("chars"))
 
 
-@R.query()
+_H = r"\n\s*(?:[IVX\d]+\.\s*)?"
+_REFS = f"{_H}(?:References|Bibliography|Literature Cited|Referencias|Bibliografía)"
+_PARTS = {
+    "i": f"{_H}(?:Introduction|Introducción)", "m": rf"{_H}(?:Methods|Methodology|Proposed Method|Proposed Methodology|Experimental Design|System Model|Materials\s+and\s+Methods|Método|Metodología)",
+    "c": rf"{_H}(?:Conclusion|Conclusions|Concluding Remarks|Discussion\s+and\s+Conclusion|Conclusions\s+and\s+Future\s+Work|Conclusiones)",
+}
+_STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_POS = lambda k: f"case when regexp_matches(b, '(?is){_PARTS[k]}\\b') then length(regexp_extract(b, '(?is)^(.*?){_PARTS[k]}\\b', 1)) + 1 else 0 end"
+
+
+@R.query(
+    rf"""with t as (select doc_id, coalesce(text, '') t from documents),
+    r as (select doc_id, t, least({", ".join(f"coalesce(nullif(case when length(regexp_extract(t, '(?is)^(.*){_REFS}{chr(92)}s*{e}', 1)) > length(t) * 0.5 then length(regexp_extract(t, '(?is)^(.*){_REFS}{chr(92)}s*{e}', 1)) else 0 end, 0), length(t))" for e in (chr(92) + "z", chr(92) + "n"))}) e from t),
+    b as (select doc_id, t, {_STRIP("left(t, e)")} b from r), p as (select *, {", ".join(f"{_POS(k)} as {k}" for k in _PARTS)} from b),
+    s as (select *, case when i > 0 then '=== INTRODUCTION ===' || chr(10) || {_STRIP("substr(b, i, case when m > i then m - i else 8000 end)")} else '=== INTRODUCTION (FALLBACK) ===' || chr(10) || left(b, 6000) end x,
+      case when m > 0 then '=== METHODOLOGY ===' || chr(10) || {_STRIP("substr(b, m, case when c > m then c - m else 12000 end)")} end y,
+      case when c > 0 then '=== CONCLUSIONS ===' || chr(10) || {_STRIP("substr(b, c)")} when length(b) > 12000 then '=== CONCLUSIONS (FALLBACK) ===' || chr(10) || right(b, 4000) end z from p)
+    select doc_id, length(b) as body_chars, md5(case when length(t) < 3000 then {_STRIP("t")} else {_STRIP("left(concat_ws(chr(10) || chr(10), x, y, z), 30000)")} end) as selected from s"""
+)
 def section_extract(spark, sf):
     rows = X.sections(table(spark, sf, "documents").select("doc_id", "text"), "text")
-    return rows.select("doc_id", *(F.length(c).alias(f"{c}_chars") for c in ("body", "introduction", "methods", "conclusions")))
+    return rows.select("doc_id", F.length("body").alias("body_chars"), F.md5("selected").alias("selected"))
 
 
 @R.query(r"select record_id as ord, regexp_replace(coalesce(abstract, ''), '<[^<]+?>', ' ', 'g') as plain from article_records where contains(coalesce(abstract, ''), '<')")
@@ -235,13 +275,20 @@ def html_strip(spark, sf):
     return articles(spark, sf).where(F.coalesce("abstract", F.lit("")).contains("<")).select("ord", C.strip_tags(F.col("abstract")).alias("plain"))
 
 
-@R.query(
-    """select doc_id, case when length(text) <= 1000 then text else left(text, 680) || chr(10) || '[...]' || chr(10) || right(text, 320) end as trimmed,
-    least(length(text), 24000) as sampled from documents"""
-)
+@R.query("select doc_id, case when length(text) <= 1000 then text else left(text, 680) || chr(10) || '[...]' || chr(10) || right(text, 320) end as trimmed from documents")
 def head_tail_trim(spark, sf):
-    df = table(spark, sf, "documents")
-    return df.select("doc_id", C.head_tail(F.col("text"), 1000).alias("trimmed"), F.length(X.context_sample(F.col("text"))).alias("sampled"))
+    return table(spark, sf, "documents").select("doc_id", C.head_tail(F.col("text"), 1000).alias("trimmed"))
+
+
+_CUT = "chr(10) || chr(10) || '--- SECCIÓN: {} ---' || chr(10) || substr(text, {}, 8000)"
+_SEG = (("INTRODUCCIÓN_Y_OBJETIVOS", "1"), ("METODOLOGÍA_Y_DISEÑO", "length(text) // 4 + 1"), ("RESULTADOS_Y_TABLAS_1", "length(text) // 2 + 1"), ("RESULTADOS_Y_TABLAS_2", "3 * length(text) // 4 + 1"), ("DISCUSIÓN_Y_CONCLUSIONES", "greatest(length(text) - 7999, 1)"))
+
+
+@R.query(f"select doc_id, md5(case when length(coalesce(text, '')) < 2000 then left(coalesce(text, ''), 6000) else left({' || '.join(_CUT.format(*x) for x in _SEG)}, 24000) end) as context from documents")
+def context_sample(spark, sf):
+    """Labelled segments of long texts; shorter ones stand for their own abstract here."""
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.context_sample(t, t)).alias("context"))
 
 
 @R.query(
@@ -257,9 +304,9 @@ def chunk_upsert(spark, sf):
     return K.upsert_chunks(df.where(F.col("at") < cut), df.where(F.col("at") >= cut)).select("article", "chunk_no", "raw_id")
 
 
-@R.query("select coalesce(title, '') as title, coalesce(array_to_string(authors, ', '), '') as authors, coalesce(year::varchar, '') as year, coalesce(doi, '') as doi, coalesce(open_access::varchar, '') as open_access, '' as reason from article_records")
+@R.query("select coalesce(title, '') as title, coalesce(array_to_string(authors, ', '), '') as authors, coalesce(year::varchar, '') as year, coalesce(doi, '') as doi, coalesce(source, '') as source, '' as similarity, '' as exclusion_reason, '' as translation from article_records")
 def export_view(spark, sf):
-    return K.export_view(articles(spark, sf)).select("title", "authors", "year", "doi", "open_access", "reason")
+    return K.export_view(articles(spark, sf)).select("title", "authors", "year", "doi", "source", "similarity", "exclusion_reason", "translation")
 
 
 @R.query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")

@@ -14,20 +14,20 @@ from sievemill.functions import columns as C
 
 # Headers that name the fields of an article, the first that is there counts; and label words.
 HEADER_ALIASES = {
-    "title": ("title", "titulo", "article_title", "document_title", "ti"),
-    "abstract": ("abstract", "resumen", "summary", "ab"),
-    "doi": ("doi", "digital_object_identifier", "di"),
-    "year": ("year", "publication_year", "anio", "ano", "py"),
-    "authors": ("authors", "author", "autores", "au"),
-    "journal": ("journal", "source_title", "revista", "venue", "so"),
-    "url": ("url", "link", "enlace"),
-    "pdf_path": ("pdf_path", "pdf", "pdf_url", "file", "file_attachments"),
-    "language": ("language", "idioma", "lang"),
-    "citations": ("citations", "cited_by", "times_cited", "citas"),
-    "label": ("label", "gold_label", "decision", "included"),
+    "title": ("title", "titulo", "article_title", "item_title"),
+    "abstract": ("abstract", "abstract_note", "abstractnote", "resumen", "description"),
+    "doi": ("doi", "digital_object_identifier"),
+    "year": ("year", "publication_year", "pub_year", "date", "publication_date"),
+    "authors": ("author", "authors", "creators", "autor", "autores"),
+    "journal": ("publication_title", "journal", "journal_title", "venue", "source_title"),
+    "url": ("url", "urls", "link", "document_url"),
+    "pdf_path": ("file_attachments", "file", "pdf_path", "pdf", "attachments"),
+    "item_type": ("item_type", "type", "publication_type", "document_type"),
+    "language": ("language", "idioma"),
+    "label": ("manual_decision", "inclusion_manual", "inclusion", "incluido", "label", "gold", "gold_label", "relevant"),
 }
-POSITIVE_LABELS = ("1", "true", "yes", "y", "si", "sí", "include", "included", "incluido", "relevant", "relevante", "positive", "pos")
-NEGATIVE_LABELS = ("0", "false", "no", "n", "exclude", "excluded", "excluido", "irrelevant", "no relevante", "negative", "neg")
+POSITIVE_LABELS = ("1", "true", "yes", "y", "si", "sí", "include", "included", "incluir", "relevant", "positivo", "incluido")
+NEGATIVE_LABELS = ("0", "false", "no", "n", "exclude", "excluded", "excluir", "irrelevant", "negativo", "excluido")
 MOST_BYTES = 12 * 1024 * 1024
 
 
@@ -97,7 +97,7 @@ def read_delimited(spark: SparkSession, path: str, fmt: FileFormat | None = None
         pick("doi").alias("doi"), F.regexp_extract(C.text(pick("year")), r"\b((?:19|20)\d{2})\b", 1).try_cast("int").alias("year"),
         split_authors(pick("authors")).alias("authors"), pick("journal").alias("journal"), pick("url").alias("url"), pick("pdf_path").alias("pdf_path"),
         (C.text(pick("pdf_path")) != "").alias("open_access"), C.language_code(pick("language")).alias("language"),
-        F.coalesce(pick("citations").try_cast("int"), F.lit(0)).alias("citations"), label_value(pick("label")).alias("_gold_label"),
+        pick("item_type").alias("item_type"), label_value(pick("label")).alias("_gold_label"),
     )
 
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
 
-EXPORT = ("title", "authors", "year", "journal", "doi", "url", "abstract", "source", "language", "citations")
-REVIEW = ("reason", "score", "decision", "matched", "missing", "stage", "pdf_url", "open_access", "notes")
+# The columns of an export, in order.
+EXPORT = ("title", "authors", "year", "journal", "doi", "abstract", "url", "source", "similarity", "relevance")
+REVIEW = ("researcher_notes", "exclusion_reason", "methodology", "population", "intervention", "key_findings", "limitations", "conclusions", "translation")
 
 
-def export_view(df: DataFrame) -> DataFrame:
-    """The fixed columns of an export, missing ones empty, arrays joined by commas; all strings."""
+def export_view(df: DataFrame, review: bool = True) -> DataFrame:
+    """The fixed columns of an export, with those of the review or without, missing ones empty, arrays joined by commas; all strings."""
     kinds = dict(df.dtypes)
 
     def cell(c: str):
@@ -22,7 +23,7 @@ def export_view(df: DataFrame) -> DataFrame:
             return F.array_join(F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")), ", ").alias(c)
         return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
-    return df.select(*(cell(c) for c in (*EXPORT, *REVIEW)))
+    return df.select(*(cell(c) for c in (EXPORT + REVIEW if review else EXPORT)))
 
 
 def write_export(df: DataFrame, path: str) -> None:
