@@ -73,7 +73,10 @@ class DefectPlan:
     least_copy: int = 20  # letters and digits of an answer that stand in its passage in one piece
     sure: float = 0.97  # of a language other than Spanish
     least_words: int = 3  # for a language to be told
-    common: int = 5  # inner uses from which a word is known
+    common: float = 7e-6  # share of all inner words from which a word is known; five uses at least
+    own: float = 3e-6  # the same for an ending to be a word of its own; two uses at least
+    few: float = 1e-3  # share of all answers under which a form that twice as many go on from may be cut; ten at least
+    least_form: int = 3  # letters of a form that others may be seen to go on from
     spike: float = 6.0  # answers of one length, over the mean of the lengths around
 
 
@@ -174,7 +177,7 @@ def _rows(model: LanguageModel, plan: DefectPlan, kind: str):
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted distinct forms with counts: each that others start with, with what follows it."""
-    open_: list[list] = []  # form, count, continuations' count, whether a word goes on
+    open_: list[list] | None = None  # form, count, continuations' count, whether a word goes on
 
     def closed(row: list) -> bool:
         return row[2] > 0
@@ -182,6 +185,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = []
         for form, n in zip(batch.column("canon").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            if open_ is None:  # forms of earlier partitions that this one's first form goes on from
+                open_ = [[form[:k], 0, 0, 0] for k in range(1, len(form))]
             while open_ and not form.startswith(open_[-1][0]):
                 row = open_.pop()
                 if closed(row):
@@ -193,7 +198,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row[3] += n
             open_.append([form, n, 0, 0])
         yield _neighbour_batch(out)
-    yield _neighbour_batch([r for r in open_ if closed(r)])
+    yield _neighbour_batch([r for r in open_ or () if closed(r)])
 
 
 def _neighbour_batch(rows: list[list]) -> pa.RecordBatch:
@@ -209,13 +214,15 @@ def _neighbour_batch(rows: list[list]) -> pa.RecordBatch:
 def shortened_forms(forms: DataFrame) -> DataFrame:
     """(canon, follow, inside) of the forms (canon, n) that longer forms start with.
 
-    Forms with the same first letters stand in one partition, in sort order, and are read as a stream; memory holds the
-    forms that the present one starts with. ``follow`` counts the longer ones, ``inside`` those that go on within a word.
+    Forms are range-partitioned in sort order, so that no beginning is hot, and each partition is read as a stream; memory
+    holds the forms that the present one starts with. A form's continuations may reach into later partitions: each of these
+    counts them for every beginning of its first form, and the counts are summed. ``follow`` counts the longer forms,
+    ``inside`` those that go on within a word.
     """
-    head = F.substring("canon", 1, 6)
     parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = forms.where(F.length("canon") >= 6).repartition(parts, head).sortWithinPartitions("canon")
-    return sorted_.mapInArrow(_neighbours, "canon string, follow long, inside long")
+    sorted_ = forms.repartitionByRange(parts, "canon").sortWithinPartitions("canon")
+    found = sorted_.mapInArrow(_neighbours, "canon string, follow long, inside long")
+    return found.groupBy("canon").agg(F.sum("follow").alias("follow"), F.sum("inside").alias("inside"))
 
 
 def find_defects(df: DataFrame, model: LanguageModel, plan: DefectPlan = DefectPlan()) -> DataFrame:
@@ -230,11 +237,13 @@ def find_defects(df: DataFrame, model: LanguageModel, plan: DefectPlan = DefectP
     rows = stored(src.mapInArrow(run, schema), "answers")
     open_rows = rows.where("canon is not null and canon != ''")
     forms = open_rows.groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("stop").cast("int")).alias("stops"))
-    short = shortened_forms(forms)
+    short = shortened_forms(forms).where(F.length("canon") >= plan.least_form)
     # words inside answers are known words; the last word of an answer may be the start of one
     words = F.split("canon", r"[^\p{L}\p{N}]+")
     inner = open_rows.select(F.explode(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).alias("w")).where("w != ''")
-    known = inner.groupBy("w").agg(F.count(F.lit(1)).alias("uses"))
+    known = stored(inner.groupBy("w").agg(F.count(F.lit(1)).alias("uses")), "known")
+    total, answers = known.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0], open_rows.count()
+    common, few = max(5.0, plan.common * total), max(10.0, plan.few * answers)
     lengths = open_rows.where("not stop").select("length", "canon").groupBy("length").agg(F.countDistinct("canon").alias("n"))
     spikes = _spikes(lengths, plan)
     starts = _word_starts(df, open_rows, plan)
@@ -247,8 +256,8 @@ def find_defects(df: DataFrame, model: LanguageModel, plan: DefectPlan = DefectP
     uses, follow, inside = (F.coalesce(c, F.lit(0)) for c in ("uses", "follow", "inside"))
     letters = F.col("w").rlike(r"^\p{L}+$")
     dangling = F.col("w").isin(*sorted(FUNCTION_WORDS)) | F.col("canon").rlike(r"[,;:(\[{«“]\s*$")
-    broken = letters & (uses < plan.common) & ((inside > 0) | F.col("spike").isNotNull())
-    truncated = F.col("cut_name") | F.col("unfinished").isNotNull() | dangling | (inside > uses) | broken | (letters & (follow > 2 * F.col("n")) & (F.col("n") < 10))
+    broken = letters & (uses < common) & ((inside > 0) | F.col("spike").isNotNull())
+    truncated = F.col("cut_name") | F.col("unfinished").isNotNull() | dangling | (inside > uses) | broken | (letters & (follow > 2 * F.col("n")) & (F.col("n") < few))
     found = rows.where("defect is not null").select("id", "defect")
     cut = judged.where(truncated).select("id", F.lit("truncated").alias("defect"))
     return found.unionAll(cut).distinct().withColumnRenamed("id", "raw_id")
@@ -267,9 +276,10 @@ def _word_starts(df: DataFrame, answers: DataFrame, plan: DefectPlan) -> DataFra
     used = passages.select(F.explode(inner(words)).alias("w")).unionAll(answers.select(F.explode(F.slice(spoken, 1, F.greatest(F.size(spoken) - 1, F.lit(0)))).alias("w")))
     lexicon = stored(used.where("w != ''").groupBy("w").agg(F.count(F.lit(1)).alias("uses")), "words")
     cuts = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.substr(F.col("w"), F.lit(1), k))
-    starts = lexicon.where((F.col("uses") >= plan.common) & (F.length("w") > 1)).select(F.explode(cuts).alias("ending")).distinct()
+    total = lexicon.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    starts = lexicon.where((F.col("uses") >= max(5.0, plan.common * total)) & (F.length("w") > 1)).select(F.explode(cuts).alias("ending")).distinct()
     endings = answers.where("ending is not null and not stop").select("ending").distinct()
-    own = lexicon.where("uses >= 2").select(F.col("w").alias("ending"))
+    own = lexicon.where(F.col("uses") >= max(2.0, plan.own * total)).select(F.col("w").alias("ending"))
     return endings.join(own, "ending", "left_anti").join(starts, "ending", "left_semi").withColumn("unfinished", F.lit(True))
 
 
