@@ -17,10 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    """The cluster's shared folder: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    A temporary one of this machine stands in only in local mode; on a cluster without either it is an error.
+    """
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if conf:
         return conf
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rsplit("/", 1)[0]
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     held = getattr(shared_dir, "own", None)
     if held is None:
         held = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="sievemill-")
