@@ -333,3 +333,47 @@ def camel_split(c: Column) -> Column:
 def without_citation_echo(c: Column) -> Column:
     """A sentence that names the same "Name (YYYY)" twice keeps the first mention."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(\b[A-ZÀ-Þ][\p{L}-]+ \((?:19|20)\d{2}\))([^.!?]*?),? ?\1", "$1$2")
+
+
+# Typographic characters and what stands for them in data sets.
+PUNCTUATION = {
+    "≤": "<=", "≥": ">=", "→": "->", "←": "<-", "±": "+/-", "×": "x", "÷": "/", "°": " grados", "²": "^2", "³": "^3", "•": "-", "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"',
+}
+
+
+def plain_punctuation(c: Column) -> Column:
+    """Single characters by one translation, the longer replacements one by one where they occur."""
+    one = {a: b for a, b in PUNCTUATION.items() if len(b) == 1}
+    out = F.translate(c, "".join(one), "".join(one.values()))
+    for a, b in PUNCTUATION.items():
+        if len(b) > 1:
+            out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def embedding_text(title: Column, abstract: Column, full: Column) -> Column:
+    """What an article is embedded by: over 500 characters of full text its first 4,000, else title and abstract."""
+    t, a, f = (F.coalesce(x, F.lit("")) for x in (title, abstract, full))
+    return F.when(F.length(f) > 500, F.substring(f, 1, 4000)).when(a != "", F.concat(t, F.lit(". "), F.substring(a, 1, 1500))).otherwise(t)
+
+
+def short_context(abstract: Column, full: Column, most: int = 150_000) -> Column:
+    return F.when(F.length(full) > 1000, F.substring(full, 1, most)).otherwise(abstract)
+
+
+def ieee_links(url: Column) -> Column:
+    """Addresses under which a document of this host may lie, its own first; one for all others."""
+    number = F.coalesce(F.nullif(F.regexp_extract(url, r"arnumber=(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/document/(\d+)", 1), F.lit("")))
+    host = "https://ieeexplore.ieee.org/"
+    more = [F.concat(F.lit(host + "stampPDF/getPDF.jsp?tp=&arnumber="), number, F.lit("&ref=")), F.concat(F.lit(host + "stamp/stamp.jsp?tp=&arnumber="), number), F.concat(F.lit(host + "stamp/stamp.jsp?arnumber="), number)]
+    known = url.contains("ieeexplore.ieee.org") | url.contains("xplorestaging.ieee.org")
+    return F.when(known & number.isNotNull(), F.array_distinct(F.array(url, *more))).otherwise(F.array(url))
+
+
+def is_pdf(content: Column, content_type: Column) -> Column:
+    """Whether bytes are a PDF: no HTML by type, 5,000 bytes or more, and the mark at their start."""
+    return ~F.lower(F.coalesce(content_type, F.lit(""))).contains("text/html") & (F.octet_length(content) >= 5000) & (F.substring(content, 1, 5) == F.encode(F.lit("%PDF-"), "UTF-8"))
+
+
+def first_citations(citations: Column, most: int = 5) -> Column:
+    return F.array_join(F.slice(F.coalesce(citations, F.array().cast("array<string>")), 1, most), ", ")

@@ -28,6 +28,7 @@ class Atom:
     category: str = "P"
     required: bool = False
     technical: bool = False
+    central: bool = False
 
 
 @dataclass(frozen=True)
