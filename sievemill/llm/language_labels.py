@@ -4,7 +4,7 @@ The classifier is a sparse multinomial logistic regression on TF-IDF character n
 padded by a blank; the term frequency of a passage is relative to all its n-grams, so that the score of
 a passage is the mean of the scores of its words and each word is scored once per process. Training is
 follow-the-regularised-leader (proximal, per coordinate) with elastic-net penalties; a temperature fitted on held-out
-passages calibrates the confidence. It is fitted on a bounded sample of labelled rows (``LanguagePlan.per_language``
+passages, wrongly labelled ones included, calibrates the confidence. It is fitted on a bounded sample of labelled rows (``LanguagePlan.per_language``
 rows of each language, those with the least hash), whose labels may partly be wrong: a first model removes passages
 that contradict their label, the second is the one that is used. Every row is scored, over its whole text.
 """
@@ -104,8 +104,11 @@ class LanguageModel:
         self.weights = np.zeros((plan.buckets, len(LANGUAGES)), dtype=np.float32)
         self.bias = np.zeros(len(LANGUAGES))
         self.temperature = 1.0
+        self.wrong = 0.0  # estimated share of wrong labels among the held-out passages
+        self.error = 0.0  # expected calibration error on them
 
-    def fit(self, rows: list[tuple[str, int]], seed: int = 7) -> LanguageModel:
+    def fit(self, rows: list[tuple[str, int]], held_out: list[tuple[str, int]] | None = None, seed: int = 7) -> LanguageModel:
+        """Fits on rows of (passage, language); the temperature on ``held_out``, or on a fifth of the rows where none are given."""
         plan, k = self.plan, len(LANGUAGES)
         rng = np.random.default_rng(seed)
         feats, labels = [], []
@@ -122,7 +125,7 @@ class LanguageModel:
             return self
         idf = np.log((1 + len(feats)) / (1 + df)) + 1
         order = rng.permutation(len(feats))
-        held, train = order[: len(order) // 5], order[len(order) // 5 :]
+        held, train = (order[: len(order) // 5], order[len(order) // 5 :]) if held_out is None else (order[:0], order)
         z, s = np.zeros((plan.buckets, k)), np.zeros((plan.buckets, k))
 
         def leader(i: np.ndarray) -> np.ndarray:
@@ -150,18 +153,29 @@ class LanguageModel:
                 bias -= 0.1 * p / np.sqrt(1 + share)
         self.weights = (leader(np.arange(plan.buckets)) * (idf * scale)[:, None]).astype(np.float32)
         self.bias = bias
-        if len(held):
-            logits = np.array([self.weights[feats[j][0]].T @ feats[j][1] + bias for j in held])
-            truth = np.array([labels[j] for j in held])
-            losses = []
-            grid = np.geomspace(0.1, 10, 41)
-            for t in grid:
-                q = logits / t
-                q -= q.max(1, keepdims=True)
-                losses.append(float(np.mean(np.log(np.exp(q).sum(1)) - q[np.arange(len(q)), truth])))
-            self.temperature = float(grid[int(np.argmin(losses))])
+        outside = [(np.unique(np.concatenate(g), return_counts=True), label) for text, label in held_out or () if (g := [word_grams(w, plan) for w in telling_words(text)])]
+        pairs = [(feats[j], labels[j]) for j in held] + [((i, n / n.sum()), label) for (i, n), label in outside]
+        if pairs:
+            self._calibrate(np.array([self.weights[i].T @ tf + bias for (i, tf), _ in pairs]), np.array([label for _, label in pairs]))
         return self
 
+    def _calibrate(self, logits: np.ndarray, truth: np.ndarray) -> None:
+        """Temperature by likelihood of labels of which a share, fitted as well, is drawn at random: wrong labels do not lower the confidence."""
+        k, best = len(LANGUAGES), None
+        for t in np.geomspace(0.1, 10, 41):
+            q = logits / t
+            q = np.exp(q - q.max(1, keepdims=True))
+            q /= q.sum(1, keepdims=True)
+            for wrong in (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3):
+                p = (1 - wrong) * q + wrong / k
+                loss = -float(np.log(np.maximum(p[np.arange(len(q)), truth], 1e-12)).mean())
+                if best is None or loss < best[0]:
+                    best = (loss, float(t), wrong, p)
+        _, self.temperature, self.wrong, p = best
+        top, hit = p.max(1), p.argmax(1) == truth
+        cell = np.minimum((top * 10).astype(int), 9)
+        self.error = float(sum(abs(top[cell == c].mean() - hit[cell == c].mean()) * (cell == c).mean() for c in np.unique(cell)))
+
     def probabilities(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
         logits = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
         logits -= logits.max(1, keepdims=True)
@@ -269,12 +283,14 @@ def train(df: DataFrame, plan: LanguagePlan = LanguagePlan()) -> LanguageModel:
     ]
     units = [units[i] for i in np.sort(rng.permutation(len(units))[: plan.passages])]
     seeds = [(t, LANGUAGES.index(code)) for code, ts in SEEDS.items() for t in ts] * 3
-    units += seeds
-    first = LanguageModel(plan).fit(units)
+    # a fifth is held out before anything is known of its labels
+    held = [u for u in units if zlib.crc32(u[0].encode()) % 5 == 0]
+    units = [u for u in units if zlib.crc32(u[0].encode()) % 5] + seeds
+    first = LanguageModel(plan).fit(units, held)
     p, _ = score([t for t, _ in units], first, WordScores(first))
     truth = np.array([label for _, label in units])
     kept = p.argmax(1) == truth
-    return LanguageModel(plan).fit([u for u, ok in zip(units, kept, strict=True) if ok])
+    return LanguageModel(plan).fit([u for u, ok in zip(units, kept, strict=True) if ok], held)
 
 
 SEGMENTS = "array<struct<field_name:string,start:int,end:int,language:string,confidence:double,counts:boolean>>"

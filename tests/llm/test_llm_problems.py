@@ -32,6 +32,14 @@ def languages(spark):
     return language_labels.train(spark.createDataFrame(rows, "record_id long, title string, abstract string, language string"))
 
 
+def test_language_confidence_is_calibrated_in_spite_of_wrong_labels(languages):
+    assert 0.02 <= languages.wrong <= 0.2 and languages.error < 0.1
+    new = [(t, list(SENTENCES).index(c)) for c, ts in SENTENCES.items() for t in ts]
+    p, _ = language_labels.score([t for t, _ in new], languages, language_labels.WordScores(languages))
+    truth = [language_labels.LANGUAGES.index(list(SENTENCES)[k]) for _, k in new]
+    assert (p.argmax(1) == truth).mean() > 0.9 and p.max(1).mean() > 0.8
+
+
 def test_language_labels(spark, languages):
     s = SENTENCES
     rows = [
