@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def sequential(rows, threshold):
     import re
 
     def tokens(t):
-        flat = (t or "").lower().translate(str.maketrans(C.ACCENTED, C.FOLDED))
+        flat = "".join(c for c in unicodedata.normalize("NFKD", (t or "").lower()) if not unicodedata.combining(c))
         return {w for w in re.findall("[a-z0-9]+", flat) if len(w) > 1 and w not in C.TITLE_STOPWORDS}
 
     seen, kept, out = set(), [], {}
