@@ -156,7 +156,24 @@ def academic_venue(journal: Column, other: Column, year: Column) -> Column:
     return (F.coalesce(year, F.lit(0)) != 0) & ~v.isin(*MISSING_VENUES) & ~contains_any(v, PREPRINT_MARKS)
 
 
-def truly_open(flag: Column, pdf_url: Column, url: Column, source: Column) -> Column:
+def first_year(*fields: Column) -> Column:
+    """The first of some fields whose text starts with four digits, as a year; null where none does."""
+    return F.coalesce(*(F.regexp_extract(c.cast("string"), r"^(\d{4})", 1).try_cast("int") for c in fields))
+
+
+def bounded_int(c: Column, default: int, least: int, most: int) -> Column:
+    """An integer within bounds; what is none counts as the default."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(c.try_cast("int"), F.lit(default))))
+
+
+def safe_float(c: Column, default: float = 0.0) -> Column:
+    return F.coalesce(F.nullif(c.try_cast("double"), F.lit(0.0)), F.lit(default))
+
+
+def truly_open(flag: Column, pdf_url: Column, url: Column, source: Column, provider_pdf: Column | None = None) -> Column:
+    """Open by flag, by a file's address, by the provider's own file entry, or by place; ``provider_pdf`` is that entry."""
+    if provider_pdf is not None:
+        flag = F.coalesce(flag, F.lit(False)) | (text(provider_pdf.cast("string")) != "")
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     return (
         F.coalesce(flag, F.lit(False)) | (F.length(text(pdf_url)) > 10) | low(url).contains("arxiv") | low(source).contains("arxiv") | low(url).contains("pmc")
@@ -341,6 +358,12 @@ PUNCTUATION = {
 }
 
 
+def joined_list(parts: Column) -> Column:
+    """Items joined by commas and a last "y"."""
+    n = F.size(parts)
+    return F.when(n <= 1, F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit(""))).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), n - 1), ", "), F.lit(" y "), F.element_at(parts, -1)))
+
+
 def plain_punctuation(c: Column) -> Column:
     """Single characters by one translation, the longer replacements one by one where they occur."""
     one = {a: b for a, b in PUNCTUATION.items() if len(b) == 1}

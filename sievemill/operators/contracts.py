@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
-from sievemill.operators.atoms import Atom, simple_variants
+from sievemill.operators.atoms import Atom, simple_variants, variants
 
 # Words that no query term needs; marks of atoms about dates, of learning in general, and of special methods.
 DATE_MARKS = (
@@ -58,6 +58,68 @@ def term(text: str, most: int = 120) -> str:
     return " ".join(text.split())[:most]
 
 
+# What shows that a label holds several components.
+COMPOSITE = (" and ", " plus ", " with ", " / ", ";", "(", ")")
+
+
+def is_composite(label: str) -> bool:
+    return any(mark in f" {label.lower()} " for mark in COMPOSITE)
+
+
+def components(label: str, most: int = 6) -> list[str]:
+    """Parts of a label with brackets: what stands before them, and what they list; parts that say too little are dropped."""
+    flat, inner, outside, depth = term(label, 10_000), [], "", 0
+    for c in flat:  # brackets are not nested in labels; an unclosed one holds the rest
+        depth += (c == "(") - (c == ")")
+        if c == "(":
+            inner.append("")
+        elif c != ")":
+            if depth > 0:
+                inner[-1] += c
+            else:
+                outside += c
+    parts = [outside, *(p for held in inner for p in re.split(r" (?:and|plus|or) |[,;/]", held))]
+    clean = dict.fromkeys(term(p).strip(" ,;:-") for p in parts)
+    return [p for p in clean if p and (len(re.findall("[a-z0-9]{2,}", p.lower())) >= 2 or stands_alone(p))][:most]
+
+
+def stands_alone(text: str) -> bool:
+    """Whether a single part is a component: an acronym, something with figures, or one word of four letters or more."""
+    bare = [c for c in text if c.isalnum()]
+    acronym = text.isupper() and 2 <= len(bare) <= 12
+    return acronym or any(c.isdigit() for c in bare) or len(text.split()) == 1 and len(bare) >= 4
+
+
+def atom_groups(raw: list[dict]) -> list[Atom]:
+    """Atoms of a loose description: a name (or id), a category of P, I, C or O, and terms that survive as variants."""
+    out = []
+    for item in raw:
+        name = str(item.get("name") or item.get("id") or "").strip()
+        terms = tuple(t.strip().lower() for t in map(str, item.get("terms") or ()) if t.strip())
+        category = str(item.get("category") or "").upper()
+        if name and category in ("P", "I", "C", "O") and any(variants(t) for t in terms):
+            out.append(Atom(name, terms, category, required=bool(item.get("required"))))
+    return out
+
+
+# Domains by words of a question, in the order that settles ties.
+DOMAINS = (
+    ("machine_learning", ("machine learning", "deep learning", "neural network", "algoritmo", "modelo de aprendizaje", "clasificación", "predicción", "inteligencia artificial", "ia")),
+    ("healthcare", ("salud", "medicina", "paciente", "clínico", "diagnóstico", "tratamiento", "enfermedad", "diabetes", "cáncer", "health")),
+    ("education", ("educación", "aprendizaje", "estudiante", "enseñanza", "pedagogía", "e-learning", "educational", "learning")),
+    ("vr_ar", ("realidad virtual", "realidad aumentada", "vr", "ar", "inmersivo", "simulación", "virtual reality")),
+    ("software_engineering", ("software", "desarrollo", "programación", "código", "testing", "arquitectura", "metodología ágil")),
+    ("social_sciences", ("social", "comportamiento", "actitud", "percepción", "cualitativo", "etnografía", "entrevista")),
+)
+
+
+def question_domain(c: Column) -> Column:
+    """The domain with most of its words in a question, the earlier at a tie, the first where none is there."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    cells = [F.struct(sum((low.contains(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-k).alias("o"), F.lit(name).alias("name")) for k, (name, words) in enumerate(DOMAINS)]
+    return F.array_max(F.array(*cells))["name"]
+
+
 def _met(text: Column, atom: Atom, most: int = 14) -> Column:
     terms = list(dict.fromkeys(term(t).lower() for t in (*atom.terms, atom.name)))[:most]
     every = sorted({v for t in terms for v in simple_variants(t)}, key=lambda v: (-len(v), v))

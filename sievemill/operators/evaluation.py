@@ -112,6 +112,25 @@ def score_audit(df: DataFrame, score: str, by: list[str] = ()) -> DataFrame:
     return a.withColumn("warnings", F.concat_ws(",", F.when(F.col("std") < 0.05, "low_variance"), F.when(F.col("mean") > 0.85, "too_lenient"), F.when(F.col("mean") < 0.15, "too_strict")))
 
 
+def share_sentence(df: DataFrame, label: str, pct: str, verb: str, connector: str = "mientras que") -> DataFrame:
+    """One row ``sentence``: the shares of a small table of categories in order of share, as the report words them."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct((-F.col(pct)).alias("o"), F.col(label).alias("l"), F.format_number(pct, 1).alias("p")))), lambda x: x)
+    one = df.agg(cells.alias("c"))
+    n = F.size("c")
+    said = F.transform(
+        "c", lambda x, i: F.when(i == 0, F.concat(F.lit("el "), x["p"], F.lit(f"% {verb} "), x["l"])).otherwise(F.concat(F.when((i == n - 1), "y el ").otherwise("el "), x["p"], F.lit("% en "), x["l"]))
+    )
+    two = F.concat(F.element_at("s", 1), F.lit(f", {connector} "), F.element_at("s", -1))
+    return one.withColumn("s", said).select(F.when(n == 0, "").when(n == 2, two).otherwise(F.array_join("s", ", ")).alias("sentence"))
+
+
+def head_and_rest(df: DataFrame, label: str, pct: str, most: int = 2) -> DataFrame:
+    """(label, pct): the ``most`` largest shares and what they leave of 100, if that is more than 0.5."""
+    top = df.orderBy(F.col(pct).desc(), label).limit(most).select(F.col(label).alias("label"), F.col(pct).alias("pct"))
+    rest = top.agg(F.round(100 - F.coalesce(F.sum("pct"), F.lit(0.0)), 1).alias("pct")).where("pct > 0.5").select(F.lit("otras revistas").alias("label"), "pct")
+    return top.unionByName(rest)
+
+
 # States of acquisition and their labels.
 ACQUISITION = (
     ("pdf_direct", "PDF descargado (directo)"), ("pdf_unpaywall", "PDF via Unpaywall"), ("pdf_s2", "PDF via Semantic Scholar"), ("abstract_proxy", "Abstract proxy (degradado)"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +45,24 @@ def _rules(f: MetadataFilter) -> list[tuple[str, Column]]:
     return rules
 
 
+def journal_names(raw: str | list[str] | None) -> tuple[str, ...]:
+    """Journal names of a form field: a list as JSON, or one name a value; commas belong to names. Each once, whatever its case."""
+    out: dict[str, str] = {}
+    for value in [raw] if isinstance(raw, str) else raw or []:
+        text = str(value or "").strip()
+        names = [text]
+        if text.startswith("["):
+            try:
+                held = json.loads(text)
+                names = [str(x).strip() for x in held] if isinstance(held, list) else names
+            except ValueError:
+                pass
+        for n in names:
+            if n:
+                out.setdefault(" ".join(n.split()).lower(), n)
+    return tuple(out.values())
+
+
 def filter_metadata(df: DataFrame, f: MetadataFilter) -> DataFrame:
     """Rows that fail no rule; falsy parameters ask for nothing."""
     for _, fails in _rules(f):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
 from sievemill.operators import contracts as K
+from sievemill.operators import evaluation as E
 from sievemill.operators import judging as J
 from sievemill.operators.atoms import Atom
 from sievemill.operators.scoring import parse_verdict
@@ -255,5 +256,50 @@ def audit_projection(spark, sf):
     return J.audit_projection(rows).select("id", "title", "doi", "similarity", "llm_reason")
 
 
+_DOM = {
+    "machine_learning": "machine learning|deep learning|neural network|algoritmo|modelo de aprendizaje|clasificación|predicción|inteligencia artificial|ia", "healthcare": "salud|medicina|paciente|clínico|diagnóstico|tratamiento|enfermedad|diabetes|cáncer|health",
+    "education": "educación|aprendizaje|estudiante|enseñanza|pedagogía|e-learning|educational|learning", "vr_ar": "realidad virtual|realidad aumentada|vr|ar|inmersivo|simulación|virtual reality",
+    "software_engineering": "software|desarrollo|programación|código|testing|arquitectura|metodología ágil", "social_sciences": "social|comportamiento|actitud|percepción|cualitativo|etnografía|entrevista",
+}
+_COUNT = lambda words: "(" + " + ".join(f"contains(q, '{w}')::int" for w in words.split("|")) + ")"
+
+
+@R.query(
+    f"""with s as (select query_id, lower(coalesce(query_text, '')) q from search_queries), c as (select query_id, unnest([{", ".join(f"{{'n': {_COUNT(w)}, 'o': {-k}, 'd': '{d}'}}" for k, (d, w) in enumerate(_DOM.items()))}]) x from s)
+    select query_id, arg_max(x.d, x.n * 100 + x.o) as domain from c group by 1"""
+)
+def question_domain(spark, sf):
+    return table(spark, sf, "search_queries").select("query_id", K.question_domain(F.col("query_text")).alias("domain"))
+
+
+_SHARES = "select coalesce(nullif(trim(journal), ''), 'sin') as journal, count(*) n from article_records group by 1"
+
+
+@R.query(
+    f"""with s as ({_SHARES}), p as (select journal as label, round(100.0 * n / (select sum(n) from s), 1) pct from s), t as (select * from p order by pct desc, label limit 2), r as (select 'otras revistas' as label, round(100 - sum(pct), 1) as pct from t)
+    select * from t union all select * from r where pct > 0.5"""
+)
+def journal_shares(spark, sf):
+    rows = articles(spark, sf).groupBy(F.coalesce(F.nullif(F.trim("journal"), F.lit("")), F.lit("sin")).alias("journal")).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.sum("n").alias("t"))
+    shares = rows.join(F.broadcast(total)).select("journal", F.round(100 * F.col("n") / F.col("t"), 1).alias("pct"))
+    return E.head_and_rest(shares, "journal", "pct")
+
+
+@R.query(
+    """with s as (select doc_kind k, round(100.0 * count(*) / (select count(*) from documents), 1) p from documents group by 1), o as (select k, p, row_number() over (order by p desc, k) i, count(*) over () n from s)
+    select string_agg(case when i = 1 then 'el ' || format('{:.1f}', p) || '% son de tipo ' || k when i = n then 'y el ' || format('{:.1f}', p) || '% en ' || k else 'el ' || format('{:.1f}', p) || '% en ' || k end, ', ' order by i) as sentence from o"""
+)
+def share_sentence(spark, sf):
+    rows = table(spark, sf, "documents").groupBy("doc_kind").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.sum("n").alias("t"))
+    return E.share_sentence(rows.join(F.broadcast(total)).select("doc_kind", F.round(100 * F.col("n") / F.col("t"), 1).alias("pct")), "doc_kind", "pct", "son de tipo")
+
+
+@R.query(r"select record_id as ord, coalesce(case when year between 1000 and 9999 then year end, regexp_extract(retrieval_date, '^(\d{4})', 1)::int) as year, greatest(1, least(50, coalesce(citations, 7))) as bounded from article_records")
+def year_fields(spark, sf):
+    return articles(spark, sf).select("ord", C.first_year(F.col("year"), F.col("retrieval_date")).alias("year"), C.bounded_int(F.col("citations").cast("string"), 7, 1, 50).alias("bounded"))
+
+
 queries, oracle_sql = (lambda: dict(R.functions)), (lambda: dict(R.statements))
 __all__ = ["oracle_sql", "queries", "sql_list"]

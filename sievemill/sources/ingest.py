@@ -111,6 +111,21 @@ def profile(df: DataFrame, fields: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("filled")) for f in fields))).alias("x")).select("x.*")
 
 
+def label_histogram(df: DataFrame, label: str) -> DataFrame:
+    """(value, parsed, n): raw label values with what they are read as; null for those that are not understood."""
+    return df.groupBy(F.lower(C.text(F.col(label).cast("string"))).alias("value")).agg(F.count(F.lit(1)).alias("n")).select("value", label_value(F.col("value")).alias("parsed"), "n")
+
+
+def ingest_warnings(df: DataFrame, mapping: dict[str, str]) -> list[str]:
+    """What a user should know of ingested articles before a run: missing columns, missing abstracts, no rows; three counts."""
+    n, bare = df.agg(F.count(F.lit(1)), F.count_if(C.text("abstract") == "")).first()
+    if not n:
+        return ["No se detectaron articulos con titulo."]
+    out = [] if "abstract" in mapping else ["No se detecto columna de abstract; el cribado dependera de metadatos/PDF."]
+    out += [] if "doi" in mapping else ["No se detecto DOI; la deduplicacion sera menos precisa."]
+    return out + ([f"{bare} articulos no tienen abstract."] if bare else [])
+
+
 def split_authors(c: Column) -> Column:
     """Names parted by semicolons, else by and."""
     flat = C.text(c)
@@ -169,8 +184,19 @@ def expand_graph(seeds: DataFrame, edges: DataFrame, per_seed: int, total: int)
     return fresh.groupBy("node").agg(F.min(F.struct("seed", "direction")).alias("s")).select("node", "s.seed", "s.direction").orderBy("node").limit(total)
 
 
-def fan_in(frames: list[DataFrame]) -> DataFrame:
-    """Union of sources by name; a field that a source lacks is null."""
+def fan_in(sources: list) -> DataFrame:
+    """Union of sources by name; a field that a source lacks is null.
+
+    A source is a DataFrame, or a function that opens one; one that cannot be opened is left out, unless none can.
+    """
+    frames, failed = [], []
+    for s in sources:
+        try:
+            frames.append(s() if callable(s) else s)
+        except Exception as e:  # whatever a reader may raise
+            failed.append(e)
+    if not frames:
+        raise ValueError("no source could be read") from (failed[0] if failed else None)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
