@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
+from sievemill.operators.quantiles import quantiles
 from sievemill.runtime import stored
 
 
@@ -55,8 +56,8 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
 
 def corpus_stopwords(freq: DataFrame, percentile: float = 97.0) -> DataFrame:
     """Terms whose document frequency reaches the percentile of all frequencies (linear interpolation)."""
-    cut = freq.agg(F.percentile("df", F.lit(percentile / 100)).alias("cut"))
-    return freq.join(F.broadcast(cut), F.col("df") >= F.col("cut")).select("term", "df")
+    (cut,) = quantiles(freq, "df", (percentile / 100,))
+    return freq.where(F.col("df") >= (F.lit(cut) if cut is not None else F.lit(None))).select("term", "df")
 
 
 def bm25(counts: DataFrame, freq: DataFrame, stop: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:

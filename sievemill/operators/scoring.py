@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
+from sievemill.operators.quantiles import quantiles
 
 
 def robust_scale(df: DataFrame, score: str, out: str = "scaled", lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Scores clipped to two percentiles and scaled to [0, 1]; 0.5 where both are equal."""
-    p = df.agg(F.percentile(score, F.lit(lo)).alias("_a"), F.percentile(score, F.lit(hi)).alias("_b"))
-    x = F.least(F.greatest(F.col(score), F.col("_a")), F.col("_b"))
-    return df.join(F.broadcast(p)).withColumn(out, F.when(F.col("_a") == F.col("_b"), 0.5).otherwise((x - F.col("_a")) / (F.col("_b") - F.col("_a")))).drop("_a", "_b")
+    a, b = quantiles(df, score, (lo, hi))
+    if a is None or a == b:
+        return df.withColumn(out, F.lit(0.5))
+    return df.withColumn(out, (F.least(F.greatest(F.col(score), F.lit(a)), F.lit(b)) - a) / (b - a))
 
 
 def phrases(queries: list[str], lo: int, hi: int) -> list[str]:
@@ -95,7 +96,7 @@ def adaptive_threshold(df: DataFrame, score: str, target: int = 50, floor: float
 
 def dual_thresholds(df: DataFrame, score: str, min_floor: float = 0.05, conservative: bool = False) -> DataFrame:
     """One row (floor, auto_include) from the 5th and 50th percentiles."""
-    p = df.agg(F.percentile(score, F.lit(0.05)).alias("p5"), F.percentile(score, F.lit(0.5)).alias("p50"))
+    p = df.sparkSession.createDataFrame([tuple(quantiles(df, score, (0.05, 0.5)))], "p5 double, p50 double")
     if conservative:
         return p.select(F.greatest(F.lit(0.05), F.col("p5") * 0.5).alias("floor"), (F.col("p50") * 0.95).alias("auto_include"))
     return p.select(

@@ -125,3 +125,19 @@ def test_ingest_and_reports(spark):
     assert [tuple(r) for r in E.head_and_rest(shares, "l", "p").collect()] == [("a", 60.0), ("b", 25.0), ("otras revistas", 15.0)]
     assert E.share_sentence(shares, "l", "p", "son").first()[0] == "el 60.0% son a, el 25.0% en b, y el 15.0% en c"
     assert E.share_sentence(shares.limit(0), "l", "p", "son").first()[0] == ""
+
+
+def test_quantiles_match_sorted_values(spark):
+    import random
+
+    from sievemill.operators.quantiles import quantiles
+
+    rng = random.Random(4)
+    for values in ([rng.choice([0.0, 1.5, 2.0, rng.random()]) for _ in range(501)], [3.0], [1.0, 2.0], [7] * 40):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        got, flat = quantiles(df, "x", (0.0, 0.05, 0.5, 0.97, 1.0)), sorted(values)
+        for q, g in zip((0.0, 0.05, 0.5, 0.97, 1.0), got, strict=True):
+            at = q * (len(flat) - 1)
+            lo = int(at)
+            assert g == pytest.approx(flat[lo] + (at - lo) * (flat[min(lo + 1, len(flat) - 1)] - flat[lo]))
+    assert quantiles(df.limit(0), "x", (0.5,)) == [None]
