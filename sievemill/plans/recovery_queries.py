@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
+from sievemill.operators import answers as W
 from sievemill.operators import contracts as K
 from sievemill.operators import evaluation as E
 from sievemill.operators import judging as J
@@ -301,5 +302,34 @@ def year_fields(spark, sf):
     return articles(spark, sf).select("ord", C.first_year(F.col("year"), F.col("retrieval_date")).alias("year"), C.bounded_int(F.col("citations").cast("string"), 7, 1, 50).alias("bounded"))
 
 
+_BULLET = "case when contains(r, '•') then substr(r, instr(r, '•')) when contains(r, chr(10) || chr(10)) then array_to_string(string_split(r, chr(10) || chr(10))[-2:], chr(10) || chr(10)) else r end"
+
+
+@R.query(
+    f"""with s as (select raw_id, case raw_id % 4 when 0 then '<analisis>1. x</analisis> ' || coalesce(output, '') when 1 then '<analisis>1. x • ' || coalesce(output, '') when 2 then '<analisis>a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || coalesce(output, '') else output end c from raw_chunks),
+    p as (select raw_id, c, list_last(string_split(c, '<analisis>')) r from s),
+    b as (select raw_id, case when contains(c, '<analisis>') and contains(c, '</analisis>') then trim(string_split(c, '</analisis>')[2]) when contains(c, '<analisis>') then trim({_BULLET}) else c end b from p)
+    select raw_id, case when not contains(b, '[EVIDENCIA') and not contains(b, '[CONTEXTO') and length(b) > 40 then '⚠️ [Aviso: Trazabilidad no etiquetada]' || chr(10) || b else b end as answer from b"""
+)
+def traced_answers(spark, sf):
+    out, k = F.coalesce("output", F.lit("")), F.col("raw_id") % 4
+    text = F.when(k == 0, F.concat(F.lit("<analisis>1. x</analisis> "), out)).when(k == 1, F.concat(F.lit("<analisis>1. x • "), out)).when(k == 2, F.concat(F.lit("<analisis>a\n\nb\n\n"), out)).otherwise(F.col("output"))
+    return table(spark, sf, "raw_chunks").select("raw_id", W.traced(text).alias("answer"))
+
+
+@R.query(
+    """with o as (select distinct lower(trim(retrieval_query)) t from article_records where retrieval_query is not null), q as (select query_id, lower(trim(query_text)) t from search_queries where query_text is not null),
+    a as (select 'atom ' || (query_id % 3) as id, t as term, 0 as pos from q union all select 'atom ' || (query_id % 3), 'invented term', 1 from q)
+    select id, term, min(pos) as pos from a where term in (select t from o where t != '') group by 1, 2"""
+)
+def mapped_terms(spark, sf):
+    """Answers that map queries to three atoms; what was not observed is dropped."""
+    atom = F.concat(F.lit("atom "), (F.col("query_id") % 3).cast("string"))
+    body = F.to_json(F.struct(F.array(F.struct(atom.alias("id"), F.array("query_text", F.lit("invented term")).alias("terms"))).alias("atoms")))
+    answers = table(spark, sf, "search_queries").where("query_text is not null").select(F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("response"))
+    observed = articles(spark, sf).where("retrieval_query is not null").select(F.col("retrieval_query").alias("term"))
+    return W.mapped_terms(answers, observed)
+
+
 queries, oracle_sql = (lambda: dict(R.functions)), (lambda: dict(R.statements))
 __all__ = ["oracle_sql", "queries", "sql_list"]

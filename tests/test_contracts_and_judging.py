@@ -4,16 +4,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemill.functions import columns as C
+from sievemill.operators import answers as W
 from sievemill.operators import contracts as K
 from sievemill.operators import evaluation as E
 from sievemill.operators import judging as J
 from sievemill.operators import screening as S
 from sievemill.operators import texts as X
-from sievemill.operators.atoms import Atom, infer_category, variants
+from sievemill.operators.atoms import Atom, Contract, infer_category, variants
 from sievemill.operators.query_building import parse_exclusions
 from sievemill.sources import ingest as I
 from sievemill.sources import providers as P
 
+K_CONTRACT = Contract((Atom("remote care", ("tele care",), "I", required=True),))
+
 
 @pytest.mark.parametrize(
     ("text", "want"),
@@ -141,3 +144,18 @@ def test_quantiles_match_sorted_values(spark):
             lo = int(at)
             assert g == pytest.approx(flat[lo] + (at - lo) * (flat[min(lo + 1, len(flat) - 1)] - flat[lo]))
     assert quantiles(df.limit(0), "x", (0.5,)) == [None]
+
+
+def test_answers(spark):
+    assert W.question_terms("¿Mejora la telemonitorización en adultos con asma grave?") == ["mejora", "telemonitorización", "adultos"] and W.question_terms(None) == ["systematic review"] and W.question_terms("a of 12") == ["systematic review"]
+    assert W.domain_words(["Remote Care of x", "AI"]) == {"remote", "care"}
+    base = ["base uno dos", "base tres", "base cuatro"]
+    assert W.category_list("1. Uso de modelos predictivos\n- uso de modelos predictivos\n* corto dos", base) == ["Uso de modelos predictivos", "base uno dos", "base tres", "base cuatro"]
+    assert W.category_list(None, base) == base and W.category_list("No se identificaron aportes.", base) == []
+    assert W.category_list("a b c, d e f; g h i\nj k l, m n o, p q r", base) == ["a b c", "d e f", "g h i", "j k l", "m n o"]
+    rows = W.synonym_rows(K_CONTRACT)
+    assert ("remote care", "I", True, "remote care", "remote-care") in rows
+    assert W.criteria_rows("- adults\n\n* 2010 on", None) == [("inclusion", "abstract", "adults"), ("inclusion", "abstract", "2010 on")]
+    df = spark.createDataFrame([('x {"atoms": [{"id": " a ", "terms": ["Sleep ", "sleep", "made up"]}, {"id": "", "terms": ["sleep"]}]}',), ("nothing",), (None,)], "response string")
+    assert [tuple(r) for r in W.mapped_terms(df, spark.createDataFrame([("sleep",), (None,)], "term string")).collect()] == [("a", "sleep", 0)]
+    assert [r[0] for r in spark.createDataFrame([("<analisis>x</analisis> ok",), (None,), ("y" * 41,), ("[EVIDENCIA 1] " + "y" * 41,)], "t string").select(W.traced(F.col("t"))).collect()] == ["ok", None, W.UNTRACED + "y" * 41, "[EVIDENCIA 1] " + "y" * 41]
