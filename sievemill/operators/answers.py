@@ -13,6 +13,8 @@ from sievemill.operators.atoms import Atom, Contract, variants
 # Words of a question that are no terms, what stands in for none, and the notice on untraced answers.
 QUESTION_STOPWORDS = frozenset("a an the and or but if of at by for with in on to from de la el en y que".split())
 NO_TERMS = ("systematic review",)
+# What shows that an item of a list gives reasons instead of naming something.
+REASONS = (r"\)\s+(?:es|son|resulta|representa)\b", r"\b(?:es|son)\s+relevante\b", r"\b(?:para|porque|debido a que)\b.*\b(?:es|son)\b")
 UNTRACED = "⚠️ [Aviso: Trazabilidad no etiquetada]\n"
 
 
@@ -67,7 +69,7 @@ def category_list(answer: str | None, base: list[str], most: int = 5, least: int
     key = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     for item in re.split(r"[\n;,]+", re.sub("```(?:json)?", "", answer)):
         item = " ".join(re.sub(r"^\s*(?:[-*]|\d+[).:-])\s*", "", item).strip(" \t\r\"'").split())
-        reason = re.search(r"(?i)\)\s+(?:es|son|resulta|representa)\b|\b(?:es|son)\s+relevante\b|\b(?:para|porque|debido a que)\b.*\b(?:es|son)\b", item)
+        reason = any(re.search(p, item, re.I) for p in REASONS)
         words = re.sub(r"\s*\([^)]*$", "", item).strip(" ()").split()
         if not reason and len(words) >= 3 and len(out) < most:
             text = " ".join(words[:18])
