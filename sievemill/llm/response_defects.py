@@ -222,7 +222,9 @@ def shortened_forms(forms: DataFrame) -> DataFrame:
     parts = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = forms.repartitionByRange(parts, "canon").sortWithinPartitions("canon")
     found = sorted_.mapInArrow(_neighbours, "canon string, follow long, inside long")
-    return found.groupBy("canon").agg(F.sum("follow").alias("follow"), F.sum("inside").alias("inside"))
+    summed = found.groupBy("canon").agg(F.sum("follow").alias("follow"), F.sum("inside").alias("inside"))
+    # beginnings that are no forms themselves were counted for the case that they are
+    return summed.join(forms.select("canon").hint("merge"), "canon", "left_semi")
 
 
 def find_defects(df: DataFrame, model: LanguageModel, plan: DefectPlan = DefectPlan()) -> DataFrame:
