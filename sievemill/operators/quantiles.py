@@ -41,5 +41,5 @@ def quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[flo
     for x in places:
         lo, hi = math.floor(x), math.ceil(x)
         a, b = float(row[f"r{lo}"]), float(row[f"r{hi}"])
-        out.append(a if lo == hi else (hi - x) * a + (x - lo) * b)
+        out.append(a if lo == hi or a == b else (hi - x) * a + (x - lo) * b)
     return out

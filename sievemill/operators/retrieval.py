@@ -132,14 +132,24 @@ def mine_terms(df: DataFrame, id_col: str, text: Column, lo: int = 1, hi: int =
 
     Counts run over all documents; only the ``features`` terms take part in the second pass.
     """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = df.select(F.col(id_col).alias("doc"), text.alias("_t"))
+    if src.rdd.getNumPartitions() < parts:  # a small file is one task; its texts are spread before they grow into n-grams
+        src = src.repartition(parts, "doc")
+    text = F.col("_t")
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
     # the words are a column of their own, as each n-gram looks into them; exploded as outer, since the filter that a plain explode
     # implies (not empty) would be pushed below that column and evaluate the words once an n-gram
-    grams = df.select(F.col(id_col).alias("doc"), words.alias("_w")).select("doc", ngram_terms(F.col("_w"), lo, hi).alias("g"))
+    grams = src.select("doc", words.alias("_w")).select("doc", ngram_terms(F.col("_w"), lo, hi).alias("g"))
     # the first pass counts terms alone, with partial sums; the second keeps the chosen ones before it counts by document
     n = df.count()
-    every = grams.select(F.explode_outer("g").alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    first = stored(every.where(F.col("cf") >= min_df).orderBy(F.col("cf").desc(), "term").limit(features), "features")
+    exploded = grams.select("doc", F.explode_outer("g").alias("term")).where("term is not null")
+    if min_df <= 2:  # two documents have a term if the least and the greatest differ
+        every = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("cf"), (F.min("doc") != F.max("doc")).alias("_two")).where(F.col("_two") | F.lit(min_df < 2)).drop("_two")
+    else:
+        own = exploded.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+        every = own.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df).drop("_df")
+    first = stored(every.orderBy(F.col("cf").desc(), "term").limit(features), "features")
     counts = grams.select("doc", F.explode_outer("g").alias("term")).join(F.broadcast(first), "term").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = counts.join(F.broadcast(stats), "term").select("doc", "term", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)).alias("w"))
