@@ -153,28 +153,72 @@ def exact_dedup(df: DataFrame) -> DataFrame:
 def similar_titles(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, sim), a < b by ord: pairs of (ord, tokens) whose token sets agree in ``threshold`` or more.
 
-    Equal sets are linked to their first row alone, which leaves every chain intact. Different sets meet through the
-    prefix filter: sets that agree enough share one of their first n - ceil(t n) + 1 tokens in the order of rarity, so
-    no pair is lost, and common tokens are hardly ever among them. Sizes are compared before the token sets.
+    Equal sets are linked to their first row alone, which leaves every chain intact. Different sets: ``_similar_sets``.
     """
     sets = df.where(F.size("tokens") > 0).withColumn("key", F.xxhash64(F.array_sort("tokens")))
     firsts = sets.groupBy("key").agg(F.min("ord").alias("ord"))
-    reps = stored(sets.join(firsts, ["key", "ord"], "left_semi").select("ord", "tokens"), "titles")
-    freq = reps.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = reps.select("ord", F.explode("tokens").alias("w")).join(freq, "w").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    n = F.size("s")
-    prefix = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    filed = ranked.select("ord", n.alias("n"), F.explode(F.slice(F.transform("s", lambda x: x["w"]), F.lit(1), prefix)).alias("w"))
-    left, right = filed.select("w", F.col("ord").alias("a"), F.col("n").alias("na")), filed.select("w", F.col("ord").alias("b"), F.col("n").alias("nb"))
-    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    pairs = left.join(right, "w").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    ta, tb = reps.select(F.col("ord").alias("a"), F.col("tokens").alias("ta")), reps.select(F.col("ord").alias("b"), F.col("tokens").alias("tb"))
-    found = pairs.join(ta, "a").join(tb, "b").select("a", "b", C.jaccard(F.col("ta"), F.col("tb")).alias("sim")).where(F.col("sim") >= threshold)
-    return found
+    return _similar_sets(sets.join(firsts, ["key", "ord"], "left_semi").select("ord", "tokens"), threshold)
+
+
+def _key_width(n: Column, threshold: float) -> Column:
+    """How many tokens a key of sets of ``n`` has, so that a set has some 200 keys at most, or one a token of its prefix."""
+    least = F.ceil(F.lit(threshold) * n - 1e-9)
+    return F.when(least < 4, 1).when(n - least <= 6, 4).when(n - least <= 30, 2).otherwise(1)
+
+
+def _subset_keys(s: Column, width: int, held: Column | None = None) -> Column:
+    """Hashes of all the subsets of ``width`` tokens of an array."""
+    held = F.lit(width) if held is None else held
+    if width == 1:
+        return F.transform(s, lambda x: F.xxhash64(held, x))
+    return F.flatten(F.transform(s, lambda x, i: _subset_keys(F.slice(s, i + 2, F.size(s)), width - 1, F.xxhash64(held, x))))
+
+
+def _similar_sets(df: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim), a < b by ord: pairs of different sets (ord, tokens) that agree in ``threshold`` or more; with a column
+    ``open``, pairs whose b is open.
+
+    Sets that share o tokens or more share w of their first n - o + w in the order of rarity, so they meet under a key of
+    w tokens and no pair is lost. The smaller of a pair needs a shorter prefix, as o is at least 2t / (1 + t) of its size.
+    Before the sets themselves are compared, pairs go whose sizes are too far apart or whose parity bits (64 for a set)
+    differ in more places than their tokens may.
+    """
+    marked = "open" in df.columns
+    size = F.size("tokens")
+    # a set of n without n / (n + 1) has no partner but its equal
+    sets = df.select("ord", "tokens", F.col("open") if marked else F.lit(True).alias("open")).where((size > 0) & (size >= threshold * (size + 1) - 1e-9))
+    sets = stored(sets, "titles")
+    words = sets.select("ord", "open", F.explode("tokens").alias("w"))
+    freq = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    bits = F.expr("aggregate(s, 0L, (x, t) -> x ^ shiftleft(1L, cast(pmod(xxhash64(t.w), 64) as int)))")
+    ranked = words.join(freq, "w").groupBy("ord", "open").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    ranked = stored(ranked.select("ord", "open", F.size("s").alias("n"), bits.alias("bits"), "s"), "ranked")
+
+    def filed(widths: Column, least: Column) -> DataFrame:
+        w, s = F.col("width"), F.col("head")
+        head = F.slice("s", F.lit(1), F.col("n") - F.greatest(least, w) + w)
+        # a token of this set alone meets nothing
+        head = F.transform(F.filter(head, lambda x: x["df"] > 1), lambda x: x["w"])
+        keys = F.when(w == 4, _subset_keys(s, 4)).when(w == 2, _subset_keys(s, 2)).otherwise(_subset_keys(s, 1))
+        rows = ranked.withColumn("width", F.explode(widths)).withColumn("head", head)
+        return rows.select(F.explode(keys).alias("k"), F.struct("ord", "n", "bits", "open").alias("set"))
+
+    n = F.col("n")
+    larger = F.sequence(n, F.floor(n / threshold + 1e-9).cast("int"))
+    small = filed(F.array_distinct(F.transform(larger, lambda m: _key_width(m, threshold))), F.ceil(2 * threshold / (1 + threshold) * n - 1e-9).cast("int"))
+    large = filed(F.array(_key_width(n, threshold)), F.ceil(F.lit(threshold) * n - 1e-9).cast("int"))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    fits = (x("n") < y("n")) | ((x("n") == y("n")) & (x("ord") < y("ord")))
+    fits = fits & (x("n") >= threshold * y("n") - 1e-9) & F.when(x("ord") < y("ord"), y("open")).otherwise(x("open"))
+    fits = fits & (F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= (x("n") + y("n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    pairs = small.select("k", F.col("set").alias("x")).join(large.select("k", F.col("set").alias("y")), "k").where(fits)
+    pairs = pairs.select(F.least(x("ord"), y("ord")).alias("a"), F.greatest(x("ord"), y("ord")).alias("b")).distinct()
+    ta, tb = ranked.select(F.col("ord").alias("a"), F.col("s.w").alias("ta")), ranked.select(F.col("ord").alias("b"), F.col("s.w").alias("tb"))
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", C.jaccard(F.col("ta"), F.col("tb")).alias("sim")).where(F.col("sim") >= threshold)
 
 
 def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(ord, first, keep): sequential first-come deduplication as a fixpoint; not a transitive closure.
+    """(ord, keep): sequential first-come deduplication as a fixpoint; not a transitive closure.
 
     ``nodes`` (ord, fixed): ``fixed`` rows are kept whatever they resemble. ``pairs`` (a, b), a before b. A row is
     dropped once a kept earlier row resembles it and kept once all its earlier neighbours are dropped. Only rows with
@@ -182,57 +226,42 @@ def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     one decides at least the first undecided row, so they end.
     """
     near = stored(pairs.select("a", "b"), "near")
-    state = nodes.join(near.select(F.col("b").alias("ord")).distinct(), "ord", "left_semi").select("ord", F.when(F.col("fixed"), F.lit(True)).alias("keep"))
-    others = nodes.join(near.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti").select("ord", F.lit(True).alias("keep"))
-    state = cut(state)
+    ends = near.select(F.col("a").alias("ord"), F.lit(False).alias("late")).unionAll(near.select(F.col("b").alias("ord"), F.lit(True).alias("late")))
+    ends = ends.groupBy("ord").agg(F.max("late").alias("late"))
+    state = cut(nodes.join(ends, "ord").select("ord", F.when(F.col("fixed") | ~F.col("late"), F.lit(True)).alias("keep")))
     undecided = None
     while (left := state.where("keep is null").count()) > 0:
         if left == undecided:
             raise RuntimeError("greedy_survivors did not settle: pairs must go from an earlier row of nodes to a later one")
         undecided = left
-        all_ = state.unionAll(others)
-        known = near.join(all_.select(F.col("ord").alias("a"), F.col("keep").alias("ka")), "a")
+        known = near.join(state.select(F.col("ord").alias("a"), F.col("keep").alias("ka")), "a")
         votes = known.groupBy(F.col("b").alias("ord")).agg(F.max(F.coalesce("ka", F.lit(False)).cast("int")).alias("hit"), F.sum(F.col("ka").isNull().cast("int")).alias("open"))
         new = F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("hit") == 1, F.lit(False)).when(F.col("open") == 0, F.lit(True))
         state = cut(state.join(votes, "ord", "left").select("ord", new.alias("keep")))
-    return state.unionAll(others)
+    return nodes.join(state, "ord", "left").select("ord", F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
 def title_dedup(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Three tiers over (ord, doi, title): the first row of an identifier is kept, later ones dropped; a row without
     identifier is dropped if its title resembles a row kept before it; rows without title tokens are kept. Returns
     (ord, keep)."""
-    rows = df.select("ord", C.normal_doi(F.col("doi")).alias("key"), C.title_tokens(F.col("title")).alias("tokens"))
-    rows = stored(rows.withColumn("_first", F.min("ord").over(Window.partitionBy(F.coalesce("key", F.concat(F.lit("#"), F.col("ord").cast("string")))))), "tier")
-    late = rows.where("key is not null and ord > _first").select("ord", F.lit(False).alias("keep"))
-    alive = rows.where("key is null or ord = _first")
-    # equal titles: only the first row of each kind of row can decide for later ones without identifier
-    sets = alive.where(F.size("tokens") > 0).withColumn("set", F.xxhash64(F.array_sort("tokens")))
-    lead = F.min("ord").over(Window.partitionBy("set"))
-    marked = stored(sets.withColumn("lead", lead).select("ord", "key", "tokens", "set", "lead"), "marked")
-    copies = marked.where("key is null and ord > lead").select("ord", "lead")
-    # rows that can still be kept or decide: leads and rows with identifier
-    heads = marked.where("key is not null or ord = lead")
-    pairs = _pairs_of_heads(heads, threshold)
-    open_ = pairs.join(heads.where("key is null").select(F.col("ord").alias("b")), "b", "left_semi")
-    nodes = alive.join(copies.select("ord"), "ord", "left_anti").select("ord", F.col("key").isNotNull().alias("fixed"))
-    kept = greedy_survivors(nodes, open_)
-    # a copy of a lead: whether the lead is kept or itself dropped by an earlier row, an earlier row resembles the copy
-    dropped = copies.select("ord", F.lit(False).alias("keep"))
-    return kept.select("ord", "keep").unionAll(dropped).unionAll(late)
-
-
-def _pairs_of_heads(heads: DataFrame, threshold: float) -> DataFrame:
-    """Similar pairs (a, b), a < b, among rows that may share a token set: set pairs, expanded to their rows with room for
-    the first of each set only on the earlier side."""
-    sets = heads.groupBy("set").agg(F.min("ord").alias("ord"), F.first("tokens").alias("tokens"))
-    found = similar_titles(sets.select("ord", "tokens"), threshold)
-    of = heads.join(sets.select("set", F.col("ord").alias("rep")), "set").select("rep", "ord")
-    least = of.groupBy("rep").agg(F.min("ord").alias("ord"))
-    both = found.select("a", "b").unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross = both.join(least.select(F.col("rep").alias("a"), F.col("ord").alias("x")), "a").join(of.select(F.col("rep").alias("b"), F.col("ord").alias("y")), "b")
-    same = of.join(least.select("rep", F.col("ord").alias("x")), "rep").select("x", F.col("ord").alias("y"))
-    return cross.select("x", "y").unionAll(same).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    rows = df.select("ord", C.normal_doi(F.col("doi")).alias("key"), F.array_sort(C.title_tokens(F.col("title"))).alias("tokens"))
+    rows = stored(rows.withColumn("set", F.when(F.size("tokens") > 0, F.xxhash64("tokens"))), "words")
+    first = F.min("ord").over(Window.partitionBy(F.coalesce("key", F.concat(F.lit("#"), F.col("ord").cast("string")))))
+    held = F.col("key").isNotNull()
+    tier = stored(rows.select("ord", "set", held.alias("fixed"), (held & (F.col("ord") > first)).alias("late")), "tier")
+    # of equal titles the first row and the first with identifier can decide for others: one without identifier after the
+    # first row goes, as whatever drops the first resembles it too
+    sets = tier.where("set is not null and not late").groupBy("set").agg(F.min("ord").alias("lead"), F.min(F.when(F.col("fixed"), F.col("ord"))).alias("held"))
+    sets = stored(sets.withColumn("open", ~F.coalesce(F.col("held") == F.col("lead"), F.lit(False))), "sets")
+    leads = rows.select("ord", "tokens").join(sets.select(F.col("lead").alias("ord"), "open"), "ord")
+    ends = _similar_sets(leads, threshold).join(sets.select(F.col("lead").alias("a"), "held"), "a")
+    pairs = ends.select(F.explode(F.array_distinct(F.array("a", "held"))).alias("a"), "b").where("a < b")
+    others = sets.where("held > lead").select(F.col("held").alias("ord"), F.lit(True).alias("fixed"))
+    kept = greedy_survivors(sets.select(F.col("lead").alias("ord"), (~F.col("open")).alias("fixed")).unionAll(others), pairs)
+    sure = tier.where("fixed or set is null").select("ord", (~F.col("late")).alias("keep"))
+    asked = tier.where("not fixed and set is not null").select("ord")
+    return sure.unionAll(asked.join(kept, "ord", "left").select("ord", F.coalesce("keep", F.lit(False)).alias("keep")))
 
 
 def merge_phases(df: DataFrame, threshold: float = 0.85) -> DataFrame:

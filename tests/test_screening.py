@@ -185,3 +185,69 @@ def test_greedy_survivors_decide_long_chains(spark):
     nodes = spark.createDataFrame([(i, False) for i in range(n)], "ord long, fixed boolean")
     pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
     assert {r.ord: r.keep for r in S.greedy_survivors(nodes, pairs).collect()} == {i: i % 2 == 0 for i in range(n)}
+
+
+def shuffled(spark, act) -> tuple[list, int]:
+    """The rows of a result and the bytes that were written to shuffles for it."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty(60_000)
+        held = sc.statusStore().executorList(False)
+        return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+    before = written()
+    rows = act().collect()
+    return rows, written() - before
+
+
+def few_words(n: int, seed: int) -> list[list[str]]:
+    """Titles of fourteen words out of fifty, every tenth with one word of its predecessor changed."""
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(50)]
+    out: list[list[str]] = []
+    for i in range(n):
+        if i % 10 == 9:
+            left = [w for w in words if w not in out[-1]]
+            out.append([*out[-1][1:], rng.choice(left)])
+        else:
+            out.append(rng.sample(words, 14))
+    return out
+
+
+def test_title_dedup_makes_no_list_of_loose_candidates(spark):
+    titles = few_words(4000, 3)
+    keys = [None if i % 3 else f"10.1/{i}" for i in range(4000)]
+    df = spark.createDataFrame([(i, k, " ".join(x)) for i, (k, x) in enumerate(zip(keys, titles))], "ord long, doi string, title string").repartition(4)
+    rows, written = shuffled(spark, lambda: S.title_dedup(df))
+    assert {r.ord: r.keep for r in rows} == {i: keys[i] is not None or i % 10 != 9 for i in range(4000)}
+    assert written < 1_600_000
+
+
+def test_a_row_with_identifier_decides_for_a_title_whose_first_row_was_dropped(spark):
+    z = [f"w{i}" for i in range(14)]
+    x = [*z[1:], "x1"]
+    y = [*x[:12], "y1", "x1"]
+    rows = [(1, None, " ".join(z)), (2, None, " ".join(x)), (3, "10.1/held", " ".join(x)), (4, None, " ".join(y))]
+    got = {r.ord: r.keep for r in S.title_dedup(spark.createDataFrame(rows, "ord long, doi string, title string")).collect()}
+    assert got == sequential(rows, 0.85) == {1: True, 2: False, 3: True, 4: False}
+
+
+@pytest.mark.parametrize("t", [0.3, 0.6, 0.85])
+def test_similar_titles_of_any_size(spark, t):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    sets = []
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 12, 13, 14, 20, 26, 33, 47, 80, 210, 260]:
+        base = rng.sample(words, n)
+        for cut_, more in [(0, 0), (0, 1), (1, 0), (1, 1), (n // 8, n // 9), (n // 3, 0)]:
+            sets.append([*base[cut_:], *(f"n{rng.randrange(60)}" for _ in range(more))])
+    sets = [sorted(set(s)) for s in sets if s]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    reps = {i: set(s) for s, i in first.items()}
+    want = {(a, b): len(reps[a] & reps[b]) / len(reps[a] | reps[b]) for a, b in itertools.combinations(sorted(reps), 2)}
+    want = {k: v for k, v in want.items() if v >= t}
+    got = S.similar_titles(spark.createDataFrame(list(enumerate(sets)), "ord long, tokens array<string>"), t).collect()
+    assert {(r.a, r.b): r.sim for r in got} == want and len(got) == len(want)
