@@ -217,6 +217,24 @@ def _similar_sets(df: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", C.jaccard(F.col("ta"), F.col("tb")).alias("sim")).where(F.col("sim") >= threshold)
 
 
+def title_links(df: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(ord, earlier, best) of the rows (ord, title) after a similar title: how many earlier rows have one and the best similarity.
+
+    Each set gets the rows of all the sets like it in order, itself among them, and counts along: no list of pairs of rows.
+    """
+    tokens = F.array_sort(C.title_tokens(F.col("title")))
+    rows = stored(df.select("ord", tokens.alias("tokens")).where(F.size("tokens") > 0).withColumn("set", F.xxhash64("tokens")), "links")
+    sets = rows.groupBy("set").agg(F.min("ord").alias("rep"))
+    near = stored(_similar_sets(rows.join(sets.select(F.col("rep").alias("ord")), "ord", "left_semi").select("ord", "tokens"), threshold), "near")
+    of = stored(rows.select("ord", "set").join(sets, "set").select("rep", "ord"), "members")
+    both = near.unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    ends = both.join(of.withColumnRenamed("rep", "a"), "a").select("b", "ord", "sim", F.lit(False).alias("own"))
+    ends = ends.unionAll(of.select(F.col("rep").alias("b"), "ord", F.lit(1.0).alias("sim"), F.lit(True).alias("own")))
+    before = Window.partitionBy("b").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ends.select("ord", "own", F.count(F.lit(1)).over(before).alias("earlier"), F.max("sim").over(before).alias("best"))
+    return counted.where("own and earlier > 0").select("ord", "earlier", "best")
+
+
 def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ord, keep): sequential first-come deduplication as a fixpoint; not a transitive closure.
 

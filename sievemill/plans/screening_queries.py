@@ -135,15 +135,8 @@ PAIRS = f"""tok as (select record_id as ord, {DOI} as key, {TOKENS} as t from ar
 @R.query(f"with {PAIRS}, e as (select b as ord, count(*) n, max(s) s from sim where s >= 0.85 group by 1) select ord, n as earlier, round(s, 6) as best from e")
 def title_jaccard_links(spark, sf):
     """Per article the number of earlier articles with a similar title and the best similarity."""
-    rows = articles(spark, sf).select("ord", C.title_tokens(F.col("title")).alias("tokens"))
-    pairs = S.similar_titles(rows.where(F.size("tokens") > 0), 0.85)
-    keyed = rows.where(F.size("tokens") > 0).select("ord", F.xxhash64(F.array_sort("tokens")).alias("set"))
-    reps = keyed.groupBy("set").agg(F.min("ord").alias("rep"))
-    of = keyed.join(reps, "set").select("ord", "rep")
-    # counts before expansion: members of each set in order, so no list of pairs is made
-    both = pairs.select("a", "b", "sim").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).unionAll(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("sim")))
-    ends = both.join(of.select(F.col("ord").alias("y"), F.col("rep").alias("b")), "b").join(of.select(F.col("ord").alias("x"), F.col("rep").alias("a")), "a").where("x < y")
-    return ends.groupBy(F.col("y").alias("ord")).agg(F.count(F.lit(1)).alias("earlier"), F.round(F.max("sim"), 6).alias("best"))
+    links = S.title_links(articles(spark, sf).select("ord", "title"), 0.85)
+    return links.select("ord", "earlier", F.round("best", 6).alias("best"))
 
 
 GREEDY = f"""with recursive {PAIRS},

@@ -251,3 +251,14 @@ def test_similar_titles_of_any_size(spark, t):
     want = {k: v for k, v in want.items() if v >= t}
     got = S.similar_titles(spark.createDataFrame(list(enumerate(sets)), "ord long, tokens array<string>"), t).collect()
     assert {(r.a, r.b): r.sim for r in got} == want and len(got) == len(want)
+
+
+def test_title_links_make_no_list_of_loose_candidates(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(i, " ".join(x)) for i, x in enumerate(few_words(6000, 3))] + [(i, "one same title again and again") for i in range(6000, 8000)]
+    spark.createDataFrame(rows, "record_id long, title string").withColumn("retrieval_phase", F.lit("seed")).repartition(4).write.parquet(f"{tmp_path}/article_records.parquet")
+    got, written = shuffled(spark, lambda: __spark_entry__.queries()["title_jaccard_links"](spark, str(tmp_path)))
+    want = {i: (1, 0.866667) for i in range(6000) if i % 10 == 9} | {i: (i - 6000, 1.0) for i in range(6001, 8000)}
+    assert {r.ord: (r.earlier, r.best) for r in got} == want
+    assert written < 1_200_000
