@@ -262,3 +262,11 @@ def test_title_links_make_no_list_of_loose_candidates(spark, tmp_path):
     want = {i: (1, 0.866667) for i in range(6000) if i % 10 == 9} | {i: (i - 6000, 1.0) for i in range(6001, 8000)}
     assert {r.ord: (r.earlier, r.best) for r in got} == want
     assert written < 1_200_000
+
+
+def test_merge_phases_makes_no_list_of_loose_candidates(spark):
+    rows = [(i, None if i % 3 else f"10.1/{i}", "seed", " ".join(x)) for i, x in enumerate(few_words(2000, 3))]
+    df = spark.createDataFrame(rows, "ord long, doi string, phase string, title string").repartition(4)
+    got, written = shuffled(spark, lambda: S.merge_phases(df))
+    assert {r.ord: r.phase for r in got} == {i: "seed" for i in range(2000) if i % 3 == 0 or i % 10 != 9}
+    assert written < 700_000
