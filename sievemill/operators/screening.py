@@ -176,7 +176,19 @@ def _subset_keys(s: Column, width: int, held: Column | None = None) -> Column:
 
 def _similar_sets(df: DataFrame, threshold: float) -> DataFrame:
     """(a, b, sim), a < b by ord: pairs of different sets (ord, tokens) that agree in ``threshold`` or more; with a column
-    ``open``, pairs whose b is open.
+    ``open``, pairs whose b is open."""
+    pairs, ranked = _candidates(df, threshold)
+    return _compared(pairs, ranked, threshold)
+
+
+def _compared(pairs: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sim) of the pairs (a, b) that agree in ``threshold`` or more; ``ranked`` has their sets."""
+    ta, tb = ranked.select(F.col("ord").alias("a"), F.col("s.w").alias("ta")), ranked.select(F.col("ord").alias("b"), F.col("s.w").alias("tb"))
+    return pairs.select("a", "b").join(ta, "a").join(tb, "b").select("a", "b", C.jaccard(F.col("ta"), F.col("tb")).alias("sim")).where(F.col("sim") >= threshold)
+
+
+def _candidates(df: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, firm): the pairs that ``_similar_sets`` has to compare, firm if a isn't open; and their sets in the order of rarity.
 
     Sets that share o tokens or more share w of their first n - o + w in the order of rarity, so they meet under a key of
     w tokens and no pair is lost. The smaller of a pair needs a shorter prefix, as o is at least 2t / (1 + t) of its size.
@@ -212,9 +224,34 @@ def _similar_sets(df: DataFrame, threshold: float) -> DataFrame:
     fits = fits & (x("n") >= threshold * y("n") - 1e-9) & F.when(x("ord") < y("ord"), y("open")).otherwise(x("open"))
     fits = fits & (F.bit_count(x("bits").bitwiseXOR(y("bits"))) <= (x("n") + y("n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     pairs = small.select("k", F.col("set").alias("x")).join(large.select("k", F.col("set").alias("y")), "k").where(fits)
-    pairs = pairs.select(F.least(x("ord"), y("ord")).alias("a"), F.greatest(x("ord"), y("ord")).alias("b")).distinct()
-    ta, tb = ranked.select(F.col("ord").alias("a"), F.col("s.w").alias("ta")), ranked.select(F.col("ord").alias("b"), F.col("s.w").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", C.jaccard(F.col("ta"), F.col("tb")).alias("sim")).where(F.col("sim") >= threshold)
+    firm = ~F.when(x("ord") < y("ord"), x("open")).otherwise(y("open"))
+    return pairs.select(F.least(x("ord"), y("ord")).alias("a"), F.greatest(x("ord"), y("ord")).alias("b"), firm.alias("firm")).distinct(), ranked
+
+
+def _thinned(pairs: DataFrame, ranked: DataFrame, held: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Of many candidates those that are still to be compared, and the sets (ord) that are already known to be dropped.
+
+    Comparing sends both sets along with each pair, so where there are more pairs than sets, each b first meets one that
+    is kept for certain: a firm one, or its first if that has no candidate before it. If they agree, b is dropped, and with
+    it go its pairs; for those as a, a row ``held`` (ord, held) stands in from there on. Ends when the pairs are as few as
+    the sets or hardly get fewer; those left are all compared.
+    """
+    near, gone, most = stored(pairs, "candidates"), None, ranked.count()
+    left = near.count()
+    while left > most:
+        later = near.select(F.col("b").alias("a")).distinct()
+        first = near.groupBy("b").agg(F.min(F.struct(~F.col("firm"), "a")).alias("first")).select("b", "first.a", (~F.col("first.col1")).alias("firm"))
+        first = first.join(later.withColumn("late", F.lit(True)), "a", "left").where("firm or late is null").select("a", "b")
+        first = stored(first, "first")
+        hit = stored(_compared(first, ranked, threshold).select(F.col("b").alias("ord")), "hit")
+        gone = hit if gone is None else gone.unionAll(hit)
+        near = near.join(hit.select(F.col("ord").alias("b")), "b", "left_anti").join(first, ["a", "b"], "left_anti")
+        near = near.join(hit.join(held, "ord", "left").select(F.col("ord").alias("a"), "held", F.lit(True).alias("hit")), "a", "left")
+        near = stored(near.where("hit is null or held < b").select("a", "b", (F.col("firm") | F.col("hit").isNotNull()).alias("firm")), "candidates")
+        before, left = left, near.count()
+        if left > 0.9 * before:
+            break
+    return near, gone
 
 
 def title_links(df: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -273,10 +310,15 @@ def title_dedup(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     sets = tier.where("set is not null and not late").groupBy("set").agg(F.min("ord").alias("lead"), F.min(F.when(F.col("fixed"), F.col("ord"))).alias("held"))
     sets = stored(sets.withColumn("open", ~F.coalesce(F.col("held") == F.col("lead"), F.lit(False))), "sets")
     leads = rows.select("ord", "tokens").join(sets.select(F.col("lead").alias("ord"), "open"), "ord")
-    ends = _similar_sets(leads, threshold).join(sets.select(F.col("lead").alias("a"), "held"), "a")
+    near, ranked = _candidates(leads, threshold)
+    near, gone = _thinned(near, ranked, sets.where("held > lead").select(F.col("lead").alias("ord"), "held"), threshold)
+    ends = _compared(near, ranked, threshold).join(sets.select(F.col("lead").alias("a"), "held"), "a")
     pairs = ends.select(F.explode(F.array_distinct(F.array("a", "held"))).alias("a"), "b").where("a < b")
-    others = sets.where("held > lead").select(F.col("held").alias("ord"), F.lit(True).alias("fixed"))
-    kept = greedy_survivors(sets.select(F.col("lead").alias("ord"), (~F.col("open")).alias("fixed")).unionAll(others), pairs)
+    nodes = sets.select(F.col("lead").alias("ord"), (~F.col("open")).alias("fixed"))
+    nodes = nodes.unionAll(sets.where("held > lead").select(F.col("held").alias("ord"), F.lit(True).alias("fixed")))
+    if gone is not None:
+        nodes, pairs = nodes.join(gone, "ord", "left_anti"), pairs.join(gone.select(F.col("ord").alias("a")), "a", "left_anti")
+    kept = greedy_survivors(nodes, pairs)
     sure = tier.where("fixed or set is null").select("ord", (~F.col("late")).alias("keep"))
     asked = tier.where("not fixed and set is not null").select("ord")
     return sure.unionAll(asked.join(kept, "ord", "left").select("ord", F.coalesce("keep", F.lit(False)).alias("keep")))

@@ -270,3 +270,48 @@ def test_merge_phases_makes_no_list_of_loose_candidates(spark):
     got, written = shuffled(spark, lambda: S.merge_phases(df))
     assert {r.ord: r.phase for r in got} == {i: "seed" for i in range(2000) if i % 3 == 0 or i % 10 != 9}
     assert written < 700_000
+
+
+def variants(n: int, groups: int, seed: int) -> list[tuple]:
+    """Rows (ord, doi, phase, title) of which many are alike: of a group's words one or two are changed, some titles recur."""
+    rng = random.Random(seed)
+    bases = [[f"g{g}w{i}" for i in range(14)] for g in range(groups)]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 1, 1, 2])):
+            words[rng.randrange(2)] = f"v{rng.randrange(12)}"
+        rows.append((i, rng.choice([None, None, None, f"10.1/{rng.randrange(n)}"]), rng.choice(["seed", "enriched"]), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_title_dedup_of_many_variants(spark, seed):
+    rows = [(i, doi, title) for i, doi, _, title in variants(700, 6, seed)]
+    got = S.title_dedup(spark.createDataFrame(rows, "ord long, doi string, title string")).collect()
+    assert {r.ord: r.keep for r in got} == sequential(rows, 0.85) and len(got) == len(rows)
+
+
+def test_a_held_row_stands_in_only_for_titles_after_it(spark):
+    base = [f"w{i}" for i in range(14)]
+    z, x, y, u = base, [*base[1:], "x1"], [*base[1:12], "w13", "y1", "x1"], [*base[1:11], "w12", "w13", "u1", "x1"]
+    like = [[*base[:13], f"k{i}"] for i in range(12)]
+    rows = [(1, None, z), (2, None, x), (3, None, y), (4, "10.1/held", x), (5, None, u), *((6 + i, None, k) for i, k in enumerate(like))]
+    rows = [(i, doi, " ".join(words)) for i, doi, words in rows]
+    got = {r.ord: r.keep for r in S.title_dedup(spark.createDataFrame(rows, "ord long, doi string, title string")).collect()}
+    assert got == sequential(rows, 0.85) == {1: True, 2: False, 3: True, 4: True} | {i: False for i in range(5, 18)}
+
+
+def test_merge_phases_sends_no_titles_along_with_all_pairs_of_variants(spark):
+    rng = random.Random(9)
+    bases = [[f"w{rng.getrandbits(96):x}" for _ in range(13)] for _ in range(100)]
+    rows = [(i, None, "seed", " ".join([*bases[i % 100], f"unit{i}"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "ord long, doi string, phase string, title string").repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    try:
+        got, written = shuffled(spark, lambda: S.merge_phases(df))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.ord: r.phase for r in got} == {i: "seed" for i in range(100)}
+    assert written < 9_000_000
